@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagelake.functions.text import col
 
@@ -105,7 +106,7 @@ def resolve_root_relative(base: Column | str, link: Column | str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _urljoin(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from urllib.parse import urljoin
 

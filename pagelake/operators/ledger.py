@@ -163,7 +163,7 @@ def retry_plan(tasks: DataFrame, run_id: str) -> DataFrame:
         F.col("task_id").alias("parent_task_id"),
         F.lit("pending").alias("status"),
         F.lit(True).alias("resume"),
-        F.coalesce(scope, "task_id").alias("checkpoint_scope"),
+        F.coalesce(scope, F.col("task_id").cast("string")).alias("checkpoint_scope"),
         "retry_action",
         "config_json",
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="pagelake-ckpt-")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once per application.
+
+    Tasks that run selectors import it; on a cluster it reaches every executor this way.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="pagelake-ship-")) / "pagelake.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs a re-read."""
     spark = df.sparkSession

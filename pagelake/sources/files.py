@@ -95,9 +95,10 @@ def write_csv(items: DataFrame, path: str, mode: str = "overwrite") -> None:
     flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def append_logs(lines: DataFrame, path: str) -> None:
-    """Append log rows ``(task_id, created_at, text)``, a folder per task."""
-    lines.write.mode("append").partitionBy("task_id").parquet(path)
+def append_logs(lines: DataFrame, path: str, day: str | Column) -> None:
+    """Append log rows ``(task_id, created_at, text)``, a folder per day (tasks are too many)."""
+    day = F.lit(day) if isinstance(day, str) else day
+    lines.withColumn("dt", day).write.mode("append").partitionBy("dt").parquet(path)
 
 
 def one_line(c: Column | str) -> Column:

@@ -62,10 +62,12 @@ class TableStore:
         """Overwrite exactly the partitions that occur in the rows.
 
         The rows are cut from their source first, since it is the table being replaced.
+        Rebalancing gathers the rows of a partition into few files, yet splits what is
+        large, so a site that holds a third of all rows is written by many tasks.
         """
         placed = cut(rows.withColumn("bucket", self._bucket()))
         (
-            placed.repartition("site_name", "bucket")
+            placed.hint("rebalance", "site_name", "bucket")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("site_name", "bucket").parquet(self.path)
         )

@@ -127,10 +127,10 @@ def archive_sink(stream: DataFrame, raw_path: str, store: TableStore, version: s
 
 
 def log_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append log rows, exactly once through the file sink's own commit log."""
+    """Append log rows with their day ``dt``, exactly once through the file sink's commit log."""
     return (
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("task_id").outputMode("append")
+        .partitionBy("dt").outputMode("append")
     )
 
 

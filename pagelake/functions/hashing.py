@@ -81,8 +81,12 @@ def signature_column(canonical_json: Column | str) -> Column:
 
 
 def row_fingerprint(columns: list[str]) -> Column:
-    """All values of a row as one digest; a missing value counts as ''."""
-    parts = F.struct(
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in sorted(columns)]
-    )
-    return F.sha2(F.to_json(parts), 256)
+    """All values of a row as one digest; a missing value counts as ''.
+
+    Each value is written with its length before it, so no two rows read the same.
+    """
+    parts: list[Column] = []
+    for c in sorted(columns):
+        value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        parts += [F.length(value).cast("string"), F.lit(":"), value]
+    return F.sha2(F.concat(*parts), 256)

@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from pagelake.functions.text import col, strip
 
 
+def quoted(name: str) -> str:
+    """A key as a path step; VARIANT paths know two quotes and no escapes."""
+    if "'" not in name:
+        return f"['{name}']"
+    if '"' not in name:
+        return f'["{name}"]'
+    raise ValueError(f"a key with both kinds of quotes cannot be addressed: {name!r}")
+
+
 def path_to_variant(path: str) -> str:
     """``a.b[0]`` to ``$['a']['b'][0]``; brackets that hold no number are ignored."""
     out = "$"
     for token in path.split("."):
         name = re.sub(r"\[.*?\]", "", token)
         if name:
-            out += "['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+            out += quoted(name)
         out += "".join(f"[{int(i)}]" for i in re.findall(r"\[(\d+)\]", token))
     return out
 
@@ -45,5 +54,5 @@ def as_text(variant: Column | str, path: str) -> Column:
 
 def get_or(variant: Column | str, keys: list[str], default, kind: str = "string") -> Column:
     """Walk nested objects by key; a missing key gives the default."""
-    path = "$" + "".join("['" + k.replace("'", "\\'") + "']" for k in keys)
+    path = "$" + "".join(quoted(k) for k in keys)
     return F.coalesce(F.try_variant_get(col(variant), path, kind), F.lit(default).cast(kind))

@@ -40,9 +40,9 @@ def _encode(c: Column) -> Column:
     return F.replace(F.replace(encoded, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def normalize_url(url: Column | str) -> Column:
-    """Lower scheme and host, query pairs without blank values sorted, no fragment."""
-    pairs = F.filter(F.split(query(url), "&"), lambda p: p.rlike("=."))
+def _query_text(query_part: Column) -> Column:
+    """Query pairs without blank values, decoded, sorted and encoded again."""
+    pairs = F.filter(F.split(query_part, "&"), lambda p: p.rlike("=."))
     decoded = F.transform(
         pairs,
         lambda p: F.struct(
@@ -50,19 +50,31 @@ def normalize_url(url: Column | str) -> Column:
             _decode(F.regexp_extract(p, "^[^=]*=(?s:(.*))$", 1)).alias("v"),
         ),
     )
-    text = F.array_join(
+    return F.array_join(
         F.transform(
             F.array_sort(decoded),
             lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"])),
         ),
         "&",
     )
-    host = F.lower(netloc(url))
-    head = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+
+
+def normalize_url(url: Column | str) -> Column:
+    """Lower scheme and host, query pairs without blank values sorted, no fragment.
+
+    Most URLs have no query, so the pieces are cut with plain string functions and the
+    pairs are looked at only where there are any.
+    """
+    whole = F.substring_index(col(url), "#", 1)
+    head = F.substring_index(whole, "?", 1)
+    asked = F.substr(whole, F.length(head) + 2)
+    origin = F.regexp_extract(head, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/]*)?", 0)
+    text = F.when(F.contains(asked, F.lit("=")), _query_text(asked)).otherwise("")
+    return F.concat(
+        F.lower(origin),
+        F.substr(head, F.length(origin) + 1),
+        F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""),
     )
-    return F.concat(head, path(url), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
 
 
 def url_fingerprint(url: Column | str) -> Column:

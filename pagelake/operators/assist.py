@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.functions import text as tx
+from pagelake.functions.jsonpath import quoted
 
 # How much of a text each kind of prompt may hold.
 EXTRACT_LENGTH, CLASSIFY_LENGTH, NORMALIZE_LENGTH = 8000, 5000, 3000
@@ -101,7 +102,7 @@ def merge_extracted(df: DataFrame, parsed: str, fields: Iterable[str]) -> DataFr
     """Put the extracted fields over the row; what the reply lacks stays as it is."""
     out = {}
     for name in fields:
-        new = F.try_variant_get(F.col(parsed), "$['" + name.replace("'", "\\'") + "']", "string")
+        new = F.try_variant_get(F.col(parsed), "$" + quoted(name), "string")
         out[name] = F.coalesce(new, F.col(name).cast("string")) if name in df.columns else new
     return df.withColumns(out)
 

@@ -99,21 +99,23 @@ def parse_html(html: str) -> Node:
 
 
 def _ensure_body(root: Node) -> None:
-    """Put ``html`` and ``body`` around a fragment, as any browser does."""
-    if any(n.tag == "body" for n in root.walk()):
-        return
+    """Put ``html`` and ``body`` around what lacks them, as any browser does."""
     html = next((n for n in root.elements() if n.tag == "html"), None)
     if html is None:
-        html = Node("html", {}, root)
-        html.kids, root.kids = root.kids, [html]
-    body = Node("body", {}, html)
-    head = [k for k in html.kids if not isinstance(k, str) and k.tag == "head"]
-    body.kids = [k for k in html.kids if isinstance(k, str) or k.tag != "head"]
-    for kid in body.elements():
-        kid.parent = body
-    html.kids = [*head, body]
-    for kid in html.elements():
-        kid.parent = html
+        html = _wrap(root, "html", root.kids)
+        root.kids = [html]
+    if not any(n.tag == "body" for n in root.walk()):
+        head = [k for k in html.kids if not isinstance(k, str) and k.tag == "head"]
+        body = _wrap(html, "body", [k for k in html.kids if isinstance(k, str) or k.tag != "head"])
+        html.kids = [*head, body]
+
+
+def _wrap(parent: Node, tag: str, kids: list[Node | str]) -> Node:
+    node = Node(tag, {}, parent)
+    node.kids = list(kids)
+    for kid in node.elements():
+        kid.parent = node
+    return node
 
 
 _PART = re.compile(
@@ -159,9 +161,13 @@ def _simple_test(m: re.Match):
 
 @lru_cache(maxsize=512)
 def compile_selector(css: str):
-    """A selector list as alternatives of ``[(combinator, predicates), ...]``, left to right."""
+    """A selector list as alternatives ``(tag, [(combinator, predicates), ...])``.
+
+    ``tag`` is the type the matched element must have, or None; it is looked at first.
+    """
     alternatives, chain, at, comb = [], [], 0, " "
     tests: list = []
+    tag = None
     css = css.strip()
     while at < len(css):
         m = _PART.match(css, at)
@@ -169,6 +175,8 @@ def compile_selector(css: str):
             raise ValueError(f"unsupported selector: {css!r}")
         at = m.end()
         if m["comb"] is None:
+            if m["tag"]:
+                tag = None if m["tag"] == "*" else m["tag"].lower()
             tests.append(_simple_test(m))
             continue
         if not tests:
@@ -176,11 +184,12 @@ def compile_selector(css: str):
         chain.append((comb, tests))
         tests, comb = [], m["comb"].strip() or " "
         if comb == ",":
-            alternatives.append(chain)
+            alternatives.append((tag, chain))
             chain, comb = [], " "
+        tag = None
     if not tests:
         raise ValueError(f"unsupported selector: {css!r}")
-    alternatives.append(chain + [(comb, tests)])
+    alternatives.append((tag, chain + [(comb, tests)]))
     return alternatives
 
 
@@ -213,7 +222,10 @@ def select(scope: Node, css: str) -> list[Node]:
     alternatives = compile_selector(css)
     return [
         n for n in scope.walk()
-        if any(_matches(n, chain, len(chain) - 1, scope) for chain in alternatives)
+        if any(
+            (tag is None or n.tag == tag) and _matches(n, chain, len(chain) - 1, scope)
+            for tag, chain in alternatives
+        )
     ]
 
 

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from pagelake.functions import text as tx
 from pagelake.functions import urls
 from pagelake.operators import dom
+from pagelake.session import spread
+
+# The box that is the page itself, whatever elements it has.
+PAGE = ""
 
 STRING_LIST = T.ArrayType(T.StringType())
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
@@ -85,10 +89,14 @@ def extract_boxes(
     keep: Iterable[str] = ("page_id", "url"),
     html: str = "html",
 ) -> DataFrame:
-    """One row per box: ``keep`` columns, ``item_idx``, one column per field (nothing dropped)."""
+    """One row per box: ``keep`` columns, ``item_idx``, one column per field (nothing dropped).
+
+    ``PAGE`` as the selector takes each page as one box.
+    """
     keep = list(keep)
     wanted = {name: field(spec) for name, spec in fields.items()}
-    dom.compile_selector(item_selector)
+    if item_selector != PAGE:
+        dom.compile_selector(item_selector)
     for f in wanted.values():
         if f.css:
             dom.compile_selector(f.css)
@@ -114,7 +122,7 @@ def extract_boxes(
                         out[name].append(_read(box, f))
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(boxes, schema)
+    return spread(pages.select(*dict.fromkeys([*keep, html]))).mapInArrow(boxes, schema)
 
 
 def extract_items(
@@ -174,7 +182,7 @@ def select_counts(
                         out["n"].append(n)
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return pages.select(*dict.fromkeys([*keep, "html"])).mapInArrow(counts, schema)
+    return spread(pages.select(*dict.fromkeys([*keep, "html"]))).mapInArrow(counts, schema)
 
 
 # --- shaping of what was read, all native -------------------------------------------------
@@ -220,7 +228,7 @@ BOOK_FIELDS = {
 
 def product_items(pages: DataFrame, keep: Iterable[str] = ("page_id", "url")) -> DataFrame:
     """Product detail pages to item rows, with the defaults of a product feed."""
-    raw = extract_boxes(pages, "html", BOOK_FIELDS, keep).drop("item_idx")
+    raw = extract_boxes(pages, PAGE, BOOK_FIELDS, keep).drop("item_idx")
     info = pairs_to_map("info")
 
     def of(name: str, default: str) -> Column:
@@ -266,7 +274,7 @@ def outlinks(
     inside the JVM where links are known to be absolute or root-relative.
     """
     fields = {kind: Field(css, "attr_all", "href") for kind, css in selectors.items()}
-    per_page = extract_boxes(pages, "html", fields).drop("item_idx")
+    per_page = extract_boxes(pages, PAGE, fields).drop("item_idx")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("hrefs")) for k in fields])
     links = (
         per_page.select("page_id", F.col("url").alias("src"), F.inline(kinds))

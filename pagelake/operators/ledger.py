@@ -83,7 +83,7 @@ def log_tail(logs: DataFrame, n: int = LOG_TAIL, log_id: str = "id") -> DataFram
     return logs.orderBy(F.desc(log_id)).limit(n).orderBy(log_id)
 
 
-def log_tail_per_task(logs: DataFrame, n: int = LOG_TAIL - 1, log_id: str = "id") -> DataFrame:
+def log_tail_per_task(logs: DataFrame, n: int = LOG_TAIL, log_id: str = "id") -> DataFrame:
     return first_per_key(logs, ["task_id"], [F.desc(log_id)], n)
 
 

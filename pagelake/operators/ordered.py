@@ -80,7 +80,8 @@ def paced(
     carried = offsets.select(
         "_g", "_block", "_off", F.max(F.col("_top") - F.col("_off") * step).over(before).alias("_prior")
     )
-    joined = local.join(carried, ["_g", "_block"])
+    # Every row has its block; as an outer join both branches can share one shuffle.
+    joined = local.join(carried, ["_g", "_block"], "left")
     best = F.greatest(F.col("_m") - F.col("_off") * step, F.col("_prior"))
     slot = (F.col("_r") + F.col("_off")) * step + best
     return joined.withColumn(name, slot).drop("_g", "_block", "_r", "_m", "_off", "_prior")

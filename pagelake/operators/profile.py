@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import text as tx
 from pagelake.functions.urls import host_key
 from pagelake.operators.dedup import first_per_key
-from pagelake.operators.extract import Field, extract_boxes, select_counts
+from pagelake.operators.extract import PAGE, Field, extract_boxes, select_counts
 
 # Marks of challenge pages and of server-rendered data, and the limits.
 CHALLENGE_MARKERS = (
@@ -93,7 +93,7 @@ def paging(pages: DataFrame) -> DataFrame:
     """Kind of pagination per page, with up to four sample links."""
     links = extract_boxes(
         pages,
-        "html",
+        PAGE,
         {
             "_next": Field(NEXT_LINK, "attr_all", "href"),
             "_labels": Field("a", "all"),
@@ -124,7 +124,7 @@ def container_candidates(pages: DataFrame) -> DataFrame:
 def field_candidates(pages: DataFrame) -> DataFrame:
     """A map of likely fields per page."""
     flags = extract_boxes(
-        pages, "html",
+        pages, PAGE,
         {
             "_t": Field(TITLE_LINK, "attr_all", "class"),
             "_tt": Field(TITLE_LINK, "all"),

@@ -136,7 +136,7 @@ def _with_details(items: DataFrame, details: DataFrame, cfg: JobConfig, robots_r
     usable = details.filter((F.length("html") > 0) & ~profile.is_challenge("html"))
     if cfg.respect_robots and robots_rules is not None:
         usable = robots.robots_allowed(usable, robots_rules, agent, key="url").filter("allowed").drop("allowed")
-    read = extract.extract_boxes(usable, "html", fields, ["url"]).drop("item_idx")
+    read = extract.extract_boxes(usable, extract.PAGE, fields, ["url"]).drop("item_idx")
     base = F.lit(cfg.first_url or cfg.pagination.get("url_pattern", ""))
     link = cfg.detail["link_field"]
     return enrich.detail_backfill(

@@ -77,6 +77,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly Python work.
+
+    A table of one file with one row group is read by one task. Where the whole input is
+    too small to give every core a scan task, it is dealt out evenly first, which moves
+    less than one scan split per core; a large input already has enough tasks and is left
+    as it is.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if cores > 1 and size < cores * split else df
+
+
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session zone is."""
     ts = F.col(ts) if isinstance(ts, str) else ts

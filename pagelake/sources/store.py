@@ -25,6 +25,9 @@ RAW_SCHEMA = (
 )
 CLEANED_SCHEMA = "site_name string, url string, url_hash string, cleaned_at timestamp"
 
+# How many partitions a batch may touch for them to be named one by one in the scan.
+MOST_NAMED_PARTITIONS = 1000
+
 
 class TableStore:
     """Raw or cleaned records under one path."""
@@ -50,24 +53,38 @@ class TableStore:
     def _bucket(self):
         return F.pmod(F.xxhash64("url_hash"), F.lit(self.buckets)).cast("int")
 
-    def _touched(self, hashes: DataFrame) -> DataFrame:
-        """The stored rows of the partitions in which the batch has keys."""
+    def _touched(self, parts: DataFrame, on: list[str]) -> DataFrame:
+        """The stored rows of the partitions a batch has keys in.
+
+        The partitions of a usual batch are few, and named as literals they prune the scan
+        before it starts. A batch that touches more is matched by a join instead.
+        """
         stored = self._stored()
         if stored is None:
             return self.empty
-        parts = hashes.select("site_name", self._bucket().alias("bucket")).distinct()
-        return stored.join(parts, ["site_name", "bucket"], "left_semi").drop("bucket")
+        parts = parts.select(*on).distinct()
+        named = parts.limit(MOST_NAMED_PARTITIONS + 1).collect()
+        if len(named) > MOST_NAMED_PARTITIONS:
+            return stored.join(parts, on, "left_semi").drop("bucket")
+        by_site: dict[str | None, list[int]] = {}
+        for row in named:
+            by_site.setdefault(row["site_name"] if "site_name" in on else None, []).append(row["bucket"])
+        keep = F.lit(False)
+        for site, buckets in by_site.items():
+            in_bucket = F.col("bucket").isin(buckets)
+            keep = keep | (in_bucket if site is None else in_bucket & (F.col("site_name") == site))
+        return stored.filter(keep).drop("bucket")
 
     def _replace(self, rows: DataFrame) -> None:
         """Overwrite exactly the partitions that occur in the rows.
 
-        The rows are cut from their source first, since it is the table being replaced.
-        Rebalancing gathers the rows of a partition into few files, yet splits what is
-        large, so a site that holds a third of all rows is written by many tasks.
+        The new files are written beside the old ones, which go only at the job's commit,
+        so the rows may be read from the table itself. Rebalancing gathers the rows of a
+        partition into few files, yet splits what is large, so a site that holds a third
+        of all rows is written by many tasks.
         """
-        placed = cut(rows.withColumn("bucket", self._bucket()))
         (
-            placed.hint("rebalance", "site_name", "bucket")
+            rows.withColumn("bucket", self._bucket()).hint("rebalance", "site_name", "bucket")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("site_name", "bucket").parquet(self.path)
         )
@@ -75,17 +92,17 @@ class TableStore:
     def save(self, batch: DataFrame, version: str, run_ts: str) -> None:
         """Upsert a batch by (site_name, fingerprint of url)."""
         stamp = F.lit(run_ts).cast("timestamp")
-        hashes = batch.select("site_name", url_fingerprint("url").alias("url_hash"))
+        parts = batch.select("site_name", url_fingerprint("url").alias("url_hash")).select(
+            "site_name", self._bucket().alias("bucket")
+        )
         merge: Callable = upsert.raw_upsert if self.kind == "raw" else upsert.cleaned_upsert
-        self._replace(merge(self._touched(hashes), batch, version, stamp))
+        self._replace(merge(self._touched(parts, ["site_name", "bucket"]), batch, version, stamp))
 
     def set_status(self, updates: DataFrame, version: str, run_ts: str) -> None:
         """Set statuses by url_hash on every site."""
-        stored = self._stored()
-        if stored is None:
+        if self._stored() is None:
             return
-        parts = updates.select(self._bucket().alias("bucket")).distinct()
-        touched = stored.join(parts, "bucket", "left_semi").drop("bucket")
+        touched = self._touched(updates.select(self._bucket().alias("bucket")), ["bucket"])
         self._replace(upsert.set_status(touched, updates, version, F.lit(run_ts).cast("timestamp")))
 
     def query(self, site: str, limit: int = 100, offset: int = 0, status: str | None = None,

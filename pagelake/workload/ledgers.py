@@ -324,7 +324,7 @@ def _(t):
         union all
         select t.task_id, t.status, 'log', event_id, null, props from ({_TASKS_SQL}) t join (
             select *, row_number() over (partition by user_id order by event_id desc) as rn from events
-        ) e on e.user_id = t.task_id where rn <= 999
+        ) e on e.user_id = t.task_id where rn <= 1000
     )
     """,
 )

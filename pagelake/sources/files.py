@@ -92,7 +92,8 @@ def write_csv(items: DataFrame, path: str, mode: str = "overwrite") -> None:
             for f in items.schema.fields
         ]
     )
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flat.write.mode(mode).option("header", True).option("escape", '"').options(**exact).csv(path)
 
 
 def append_logs(lines: DataFrame, path: str, day: str | Column) -> None:

@@ -13,11 +13,16 @@ from pagelake.session import cut
 SCROLL_PATIENCE = 3
 
 
-def page_urls(pattern: str):
-    """``{page}`` or a padded ``{page:03d}`` as an expression over a ``page_no`` column."""
+def check_pattern(pattern: str) -> None:
+    """Refuse a pattern that holds anything but page numbers."""
     holes = re.findall(r"\{([^{}]*)\}", pattern)
     if not holes or any(not re.fullmatch(r"page(:0?\d*d)?", h) for h in holes):
         raise ValueError(f"only {{page}} may stand in the pattern: {pattern!r}")
+
+
+def page_urls(pattern: str):
+    """``{page}`` or a padded ``{page:03d}`` as an expression over a ``page_no`` column."""
+    check_pattern(pattern)
     parts, at = [], 0
     for m in re.finditer(r"\{page(?::(0?\d*)d)?\}", pattern):
         parts.append(F.lit(pattern[at : m.start()]))

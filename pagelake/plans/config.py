@@ -10,7 +10,7 @@ from urllib.parse import urlsplit
 
 from pagelake.functions.hashing import contract_signature
 from pagelake.operators.dom import compile_selector
-from pagelake.operators.paging import page_urls
+from pagelake.operators.paging import check_pattern
 
 # What a job may ask for.
 RENDERS = ("direct", "playwright")
@@ -75,7 +75,7 @@ def _http_url(value: Any, name: str) -> str:
 
 def _first_page(pattern: str, page: int) -> str:
     try:
-        page_urls(pattern)
+        check_pattern(pattern)
         return pattern.format(page=page)
     except (ValueError, KeyError, IndexError) as e:
         raise ConfigError("url_pattern may only hold {page}") from e
@@ -195,7 +195,10 @@ class JobConfig:
                 raise ConfigError("url_pattern must hold {page}")
             _http_url(_first_page(pattern, out["start_page"]), "url_pattern")
         elif pattern:
-            out["url_pattern"] = _http_url(str(pattern).format(page=out["start_page"]), "url_pattern")
+            fixed = str(pattern)
+            out["url_pattern"] = _http_url(
+                _first_page(fixed, out["start_page"]) if "{" in fixed else fixed, "url_pattern"
+            )
         if kind == "none" and not first_url and not pattern:
             raise ConfigError("a single-page job needs first_url")
         if kind in ("next_button", "infinite_scroll") and not first_url:

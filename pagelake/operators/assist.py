@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagelake.functions import text as tx
 from pagelake.functions.jsonpath import quoted
+from pagelake.session import spread
 
 # How much of a text each kind of prompt may hold.
 EXTRACT_LENGTH, CLASSIFY_LENGTH, NORMALIZE_LENGTH = 8000, 5000, 3000
@@ -73,7 +74,7 @@ def score(df: DataFrame, prompt: Column, scorer: Scorer | None, reply: str = "re
             yield batch[columns].assign(**{reply: answers})
 
     flat = ready.select("*", F.col("_prompt.system").alias("_system"), F.col("_prompt.user").alias("_user"))
-    return flat.drop("_prompt").mapInPandas(ask, schema)
+    return spread(flat.drop("_prompt")).mapInPandas(ask, schema)
 
 
 def parse_reply(reply: Column | str) -> Column:

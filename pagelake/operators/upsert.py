@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,28 +60,31 @@ def store_type(dtype: T.DataType) -> str:
     return "string"
 
 
-def store_name(name: str) -> str:
-    """Column name of a cleaned table (the driver-side twin of the column function)."""
-    import hashlib
-    import re
+def store_names(spark: SparkSession, names: Iterable[str]) -> dict[str, str]:
+    """Legal column names of a cleaned table, by the same rule as the column function.
+
+    The names are literals, so this is one row of folded constants.
+    """
+    names = list(names)
+    legal = [F.coalesce(F.nullif(sanitize_identifier(F.lit(n)), F.lit("")), F.lit("col")) for n in names]
+    row = spark.sql("select 1").select(*[c.alias(f"c{i}") for i, c in enumerate(legal)]).first()
+    return dict(zip(names, row))
 
-    raw = name.strip()
-    plain = re.sub(r"[\s\-.]+", "_", raw.lower())
-    legal = re.sub(r"_+", "_", re.sub(r"[^a-zA-Z0-9_]", "_", raw).lower()).strip("_")
-    if legal != plain:
-        legal = f"{legal or 'col'}_{hashlib.sha1(raw.encode('utf-8')).hexdigest()[:6]}"
-    return legal[:48] or "col"
 
+def stored_items(items: DataFrame, skip: Iterable[str] = ()) -> dict[str, Column]:
+    """Item columns under legal names and stored types; nested values become JSON text.
 
-def store_columns(items: DataFrame) -> DataFrame:
-    """Items with legal column names and stored types; nested values become JSON text."""
+    Reserved columns are left out, and of two columns with one legal name the first counts.
+    """
     nested = (T.ArrayType, T.MapType, T.StructType)
-    out = {}
-    for f in items.schema.fields:
+    fields = [f for f in items.schema.fields if f.name not in set(skip)]
+    names = store_names(items.sparkSession, [f.name for f in fields]) if fields else {}
+    out: dict[str, Column] = {}
+    for f in fields:
         c = F.col(f"`{f.name}`")
-        stored = F.to_json(c) if isinstance(f.dataType, nested) else c.cast(store_type(f.dataType))
-        out.setdefault(store_name(f.name), stored)
-    return items.select(*[c.alias(n) for n, c in out.items()])
+        if names[f.name] not in RESERVED:
+            out.setdefault(names[f.name], F.to_json(c) if isinstance(f.dataType, nested) else c.cast(store_type(f.dataType)))
+    return out
 
 
 def cleaned_upsert(existing: DataFrame, batch: DataFrame, version: str, run_ts: Column | str) -> DataFrame:
@@ -92,20 +95,7 @@ def cleaned_upsert(existing: DataFrame, batch: DataFrame, version: str, run_ts:
     """
     run_ts = F.lit(run_ts) if isinstance(run_ts, str) else run_ts
     ver = F.col(f"`{version}`").cast("bigint")
-    items = store_columns(batch.drop("site_name", "url", version, *[c for c in RESERVED if c in batch.columns]))
-    values = [c for c in items.columns if c not in RESERVED]
-    # Names and types are settled on the item columns; keys ride along untouched.
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    picked: dict[str, Column] = {}
-    for f in batch.schema.fields:
-        if f.name in ("site_name", "url", version):
-            continue
-        name = store_name(f.name)
-        if name in values:
-            c = F.col(f"`{f.name}`")
-            picked.setdefault(
-                name, F.to_json(c) if isinstance(f.dataType, nested) else c.cast(store_type(f.dataType))
-            )
+    picked = stored_items(batch, skip=("site_name", "url", version))
     stamp = existing.schema["cleaned_at"].dataType
     new = batch.select(
         "site_name", F.coalesce("url", F.lit("")).alias("url"),
@@ -186,5 +176,5 @@ def merge_checkpoint(existing: DataFrame, batch: DataFrame, version: str, keys:
 
 __all__ = [
     "cleaned_upsert", "evolve", "idempotent_append", "key_audit", "merge_checkpoint",
-    "raw_upsert", "sanitize_identifier", "set_status", "store_columns", "store_name", "store_type",
+    "raw_upsert", "sanitize_identifier", "set_status", "store_names", "store_type", "stored_items",
 ]

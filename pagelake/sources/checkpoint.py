@@ -38,9 +38,9 @@ def load(spark: SparkSession, path: str, sig: str) -> DataFrame:
         return spark.createDataFrame([], f"page_no bigint, items {ITEMS}")
     lines = spark.read.text(folder).select(
         "value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"),
     )
-    return parse_lines(lines, order=["at", "file", "line_no"])
+    return parse_lines(lines, order=["at", "file", "block", "line_no"])
 
 
 def save(pages: DataFrame, path: str, sig: str) -> None:

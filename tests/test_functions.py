@@ -37,11 +37,11 @@ def test_lossy_identifiers_stay_apart(values):
     assert all(re.fullmatch(r"[a-z0-9_]{0,48}", o) for o in out)
 
 
-def test_column_and_driver_identifiers_agree(values):
-    from pagelake.operators.upsert import store_name
+def test_store_names_follow_the_column_rule(spark, values):
+    from pagelake.operators.upsert import store_names
 
-    names = [w for w in words(300, 3) if w.strip()]
-    assert [o or "col" for o in values(names, text.sanitize_identifier)] == [store_name(n) for n in names]
+    names = sorted({w for w in words(60, 3) if w.strip()})
+    assert list(store_names(spark, names).values()) == [o or "col" for o in values(names, text.sanitize_identifier)]
 
 
 def test_numbers_and_casts(values):

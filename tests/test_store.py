@@ -59,7 +59,7 @@ def test_cleaned_store_gains_columns(spark, tmp_path):
     two = spark.createDataFrame([("s", "http://a.test/1", "new", 2.5, "9", 1)], "site_name string, url string, title string, `Net Price` double, id string, seq int")
     store.save(two, "seq", "2024-01-02 00:00:00")
     rows = {r["url"]: r.asDict() for r in store.read().collect()}
-    name = upsert.store_name("书名")
+    name = upsert.store_names(spark, ["书名"])["书名"]
     row = rows["http://a.test/1"]
     assert (row["title"], row["net_price"], row[name], row["tags"], row["ok"]) == ("new", 2.5, 1, "[1,2]", True)
     assert "id" not in row and rows[""]["url_hash"] == "" and rows[""]["net_price"] is None

@@ -48,7 +48,7 @@ def _(t):
 @query("stream_dedup", "select distinct md5('https://u.test/' || user_id) as url_hash from events")
 def _(t):
     rows = _stream(t, "events").select(
-        F.concat(F.lit("https://U.test/"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("at")
+        F.concat(F.lit("https://U.test/"), "user_id").alias("url"), F.timestamp_micros(epoch_micros("ts")).alias("at")
     )
     return _landed(t, flows.dedup(rows, "url", "at", "60 days")).select("url_hash")
 
@@ -66,7 +66,7 @@ def _(t):
 )
 def _(t):
     """Hourly windows that the watermark has closed; what is still open at the end is not out yet."""
-    rows = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
+    rows = _stream(t, "events").select(F.timestamp_micros(epoch_micros("ts")).alias("at"), "event_type", "value")
     out = flows.windowed_metrics(rows, "at", "event_type", F.col("event_type") != "error", "value", window="1 hour")
     return _landed(t, out).select(
         F.unix_micros("window_start").alias("window_us"), "event_type", "requests", F.round("rate", 6).alias("rate"),

@@ -75,7 +75,8 @@ def next_walk(pages: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
     item, a page comes again, or ``max_pages`` is reached.
 
     A walk of length n takes log2(n) joins, not n: round k joins the walks with the
-    links that jump 2**k pages. Lineage is cut by a reliable checkpoint each round.
+    links that jump 2**k pages and adds only what is new. Lineage is cut by a reliable
+    checkpoint each round.
     """
     here = pages.filter(~F.coalesce("disabled", F.lit(False)) & F.col("next_url").isNotNull()).select(
         F.col("url").alias("src"), F.col("next_url").alias("dst"),
@@ -89,19 +90,20 @@ def next_walk(pages: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
     walks = walks.join(pages.select("url"), "url", "left_semi").select("seed", "url", "pos")
     step = 1
     while step < max_pages:
-        further = (
+        further = cut(
             walks.join(jump, walks["url"] == jump["src"])
             .select("seed", F.col("dst").alias("url"), (F.col("pos") + step).alias("pos"))
             .filter(F.col("pos") < max_pages)
         )
-        both = walks.unionByName(further).groupBy("seed", "url").agg(F.min("pos").alias("pos"))
-        walks = cut(both)
-        step *= 2
-        if step >= max_pages or walks.filter(F.col("pos") >= step // 2).isEmpty():
+        if further.isEmpty():
             break
-        ahead = jump.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-        jump = cut(jump.join(ahead, jump["dst"] == ahead["mid"]).select("src", F.col("far").alias("dst")))
-    return walks.withColumn("pos", F.col("pos") + 1)
+        walks = walks.unionByName(further)
+        step *= 2
+        if step < max_pages:
+            ahead = jump.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+            jump = cut(jump.join(ahead, jump["dst"] == ahead["mid"]).select("src", F.col("far").alias("dst")))
+    # A page that comes again begins a circle; only its first visit counts.
+    return walks.groupBy("seed", "url").agg((F.min("pos") + 1).alias("pos"))
 
 
 def scroll_accumulate(

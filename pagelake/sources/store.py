@@ -7,6 +7,7 @@ costs what it touches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,24 @@ class TableStore:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], RAW_SCHEMA if self.kind == "raw" else CLEANED_SCHEMA)
 
+    def _schema(self) -> T.StructType:
+        """Columns of the table. They are kept in one small file beside the data, so that
+        reading does not open the footer of every data file to merge schemas."""
+        if self.kind == "cleaned" and _exists(self.spark, f"{self.path}/_schema"):
+            kept = self.spark.read.option("wholetext", True).text(f"{self.path}/_schema").first()
+            return T.StructType.fromJson(json.loads(kept["value"]))
+        return self.empty.schema
+
+    def _keep_schema(self, rows: DataFrame) -> None:
+        """Note new columns before the data has them: a column without values reads as null."""
+        if self.kind == "cleaned" and rows.schema != self._schema():
+            text = self.spark.range(1).select(F.lit(rows.schema.json()).alias("value"))
+            text.write.mode("overwrite").text(f"{self.path}/_schema")
+
     def _stored(self) -> DataFrame | None:
         if not _exists(self.spark, self.path):
             return None
-        return self.spark.read.option("mergeSchema", True).parquet(self.path)
+        return self.spark.read.schema(self._schema().add("bucket", T.IntegerType())).parquet(self.path)
 
     def read(self) -> DataFrame:
         stored = self._stored()
@@ -83,6 +98,7 @@ class TableStore:
         partition into few files, yet splits what is large, so a site that holds a third
         of all rows is written by many tasks.
         """
+        self._keep_schema(rows)
         (
             rows.withColumn("bucket", self._bucket()).hint("rebalance", "site_name", "bucket")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

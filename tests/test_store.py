@@ -66,6 +66,14 @@ def test_cleaned_store_gains_columns(spark, tmp_path):
     assert store.query("s", limit=1, offset=1).count() == 1 and store.query("s", offset=2).count() == 0
 
 
+def test_sites_that_look_like_numbers(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "raw"), buckets=2)
+    rows = spark.createDataFrame([("007", "http://a.test/1", "v", 1)], "site_name string, url string, raw_data string, seq int")
+    store.save(rows, "seq", "2024-01-01 00:00:00")
+    store.save(rows, "seq", "2024-01-02 00:00:00")
+    assert [(r["site_name"], r["raw_data"]) for r in store.read().collect()] == [("007", "v")]
+
+
 def test_store_types():
     assert [upsert.store_type(t) for t in (T.BooleanType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.ArrayType(T.LongType()))] == [
         "boolean", "bigint", "bigint", "double", "string", "string"]

@@ -31,14 +31,18 @@ def merge(*filters: DataFrame) -> DataFrame:
 
 
 def contains(items: DataFrame, item: str, words: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """``(item, maybe)`` per distinct item: true if all its bits are set."""
-    probes = positions(items, item, bits, hashes).withColumn("word", F.expr("pos div 64"))
-    bit = F.expr("coalesce(shiftrightunsigned(bits, cast(pos % 64 as int)) & 1L, 0L)")
-    return (
-        probes.join(words, "word", "left")
-        .groupBy("item")
-        .agg((F.min(bit) == 1).alias("maybe"))
+    """``(item, maybe)`` per distinct item: true if all its bits are set.
+
+    The probes, one per hash, carry a 16-byte digest instead of the item.
+    """
+    keys = items.select(col(item).alias("item")).filter("item is not null").distinct()
+    named = keys.withColumn("_h", F.unhex(F.md5("item")))
+    probes = named.select("_h", F.explode(bloom_positions("item", bits, hashes)).alias("pos")).withColumn(
+        "word", F.expr("pos div 64")
     )
+    bit = F.expr("coalesce(shiftrightunsigned(bits, cast(pos % 64 as int)) & 1L, 0L)")
+    verdicts = probes.join(words, "word", "left").groupBy("_h").agg((F.min(bit) == 1).alias("maybe"))
+    return named.join(verdicts, "_h").select("item", "maybe")
 
 
 def count(words: DataFrame, bits: int, hashes: int) -> DataFrame:

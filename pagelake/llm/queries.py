@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import contamination, langid, licenses, packing, pii, quality, token_counts
+from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, token_counts
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2(table):
     return quality.quality_scores(table("documents"), table("labels"))
 
 
+@query("op3_near_vectors")
+def op3(table):
+    return near_vectors.near_vectors(table("embeddings"))
+
+
 @query("op4_pii")
 def op4(table):
     return pii.report(table("documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, token_counts
+from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, token_counts
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op7(table):
     return contamination.contaminated(table("documents"), table("benchmark"))
 
 
+@query("op8_shingle_join")
+def op8(table):
+    return shingle_join.near_duplicates(table("documents"), shingle=3, num=90, den=100)
+
+
 @query("op9_licenses")
 def op9(table):
     return licenses.scan(table("documents"))

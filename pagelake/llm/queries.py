@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, token_counts
+from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op8(table):
 @query("op9_licenses")
 def op9(table):
     return licenses.scan(table("documents"))
+
+
+@query("op10_suffix_dedup")
+def op10(table):
+    return suffix_dedup.remove_repeats(table("documents")).drop("kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.session import shared_dir
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -73,3 +76,14 @@ class Memo:
 def check_remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo a number; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again.
+
+    Like a checkpoint this cuts the lineage where every executor can read; it is compressed,
+    and Spark knows its size when it plans the joins that follow.
+    """
+    place = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.columns import let, plain_words, words
-from pagelake.llm.common import text_column
-from pagelake.session import cut
+from pagelake.llm.common import kept, text_column
 
 
 def starts(w: Column, size: int) -> Column:
@@ -78,7 +77,7 @@ def contaminated(
         values.join(sketches(items, share), "value").where(F.col("n") >= needed(share, F.col("q")))
         .select("doc_id", "item_id").distinct()
     )
-    candidates = cut(candidates)
+    candidates = kept(candidates)
     by_doc = candidates.join(items.select("item_id", "item"), "item_id")
     chosen = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = chosen.select("doc_id", shingles(words(plain_words(F.col("text"))), shingle).alias("doc"))

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Memo, check_remainder, text_column
-from pagelake.session import cut
+from pagelake.llm.common import Memo, check_remainder, kept, text_column
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -95,7 +94,7 @@ def learn(
                 }
             )
 
-    words = cut(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = kept(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     parts = words.mapInArrow(gram_counts, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     terms = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(parts)
     totals = {(r["lang"], r["size"]): r["n"] for r in terms.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}

@@ -14,14 +14,11 @@ rows.  Other columns of the table are never read, or kept as they are by ``sanit
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.columns import found_at, let, running
-from pagelake.llm.common import text_column
-from pagelake.session import shared_dir
+from pagelake.llm.common import kept, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -137,12 +134,9 @@ def find(
     Spans are (start, kind, end); an added span's kind is 4 plus the number of the kind that
     the term discloses, plus 4 more where it is to be removed.
     """
-    spark = docs.sparkSession
     found = with_base(docs, id_col, text_col)
     # Written and read again: its size is then known, and Spark broadcasts it only if it is small.
-    place = f"{shared_dir(spark)}/disclosing-{uuid.uuid4().hex}"
-    disclosing_terms(found, share, least_docs).write.parquet(place)
-    disclosing = spark.read.parquet(place)
+    disclosing = kept(disclosing_terms(found, share, least_docs))
     holders = found.where(F.size("base") > 0)
     kinds = F.array_distinct(F.transform("base", lambda s: s["kind"]))
     terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
@@ -160,8 +154,8 @@ def find(
         by_term = F.map_from_entries(F.col("b.hits"))
         inside = lambda s: F.exists("a.base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         own = F.transform("b.hits", lambda h: h["term"])
-        kept = let(own, lambda terms: F.filter(spots, lambda s: F.array_contains(terms, F.lower(s["match"])) & ~inside(s)))
-        return let(by_term, lambda m: F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.element_at(m, F.lower(s["match"])).alias("kind"), s["end"].alias("end"))))
+        spotted = let(own, lambda terms: F.filter(spots, lambda s: F.array_contains(terms, F.lower(s["match"])) & ~inside(s)))
+        return let(by_term, lambda m: F.transform(spotted, lambda s: F.struct(s["start"].alias("start"), F.element_at(m, F.lower(s["match"])).alias("kind"), s["end"].alias("end"))))
 
     added = (
         holders.join(hits, same({"doc_id": F.col("a.doc_id"), "key": F.col("a.key")}, {"doc_id": F.col("b.doc_id"), "key": F.col("b.key")}))

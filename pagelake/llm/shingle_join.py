@@ -2,12 +2,14 @@
 
 A document is the set of its word shingles.  Shingles are put in one global order, rare ones
 first: their frequencies are counted over all documents in a fixed number of hash slots, and
-ties go by hash.  Two sets with a Jaccard similarity of at least num/den must share one of
-their first ``n - ceil(n * num / den) + 1`` shingles.
+ties go by hash.  Two sets with a Jaccard similarity of at least num/den must share k of
+their first ``n - ceil(n * num / den) + k`` shingles (or all that they have in common, where
+that is less), for any k.
 
 1. Documents with equal sets become one class.
-2. Classes with the same prefix and size become one group; groups are joined on prefix
-   shingles, with bounds from size and position.
+2. Classes with the same prefix and size become one group.  Groups that share fewer than k
+   prefix shingles with any others are out; the rest is joined on prefix shingles, with
+   bounds from size and position, and pairs sharing fewer than k are dropped.
 3. Surviving pairs of groups are expanded to pairs of classes and verified on the whole sets.
 
 Only components are asked for, so a pair inside a component that is known already need not be
@@ -33,9 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from pagelake.llm.common import as_bytes, mix, text_column
+from pagelake.llm.common import as_bytes, kept, mix, text_column
 from pagelake.llm.components import components
-from pagelake.session import cut
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +76,7 @@ def slot_ranks(rows: DataFrame, size: int, bits: int) -> np.ndarray:
     return out
 
 
-def with_prefixes(rows: DataFrame, size: int, num: int, den: int, bits: int) -> DataFrame:
+def with_prefixes(rows: DataFrame, size: int, num: int, den: int, common: int, bits: int) -> DataFrame:
     """doc_id, n, digest of the set and its prefix of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(slot_ranks(rows, size, bits))
     mask = np.uint64((1 << bits) - 1)
@@ -89,7 +90,7 @@ def with_prefixes(rows: DataFrame, size: int, num: int, den: int, bits: int) ->
                 s = shingle_set(text, size)
                 ns.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()))
-                keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                keep = len(s) - -(-num * len(s) // den) + common if len(s) else 0
                 prefixes.append(s[np.lexsort((s, ranks[(s & mask).astype(np.int64)]))[:keep]].view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": ns, "digest": digests, "prefix": prefixes}, schema=schema)
 
@@ -133,58 +134,62 @@ def may_link(p: str, q: str, num: int, den: int) -> Column:
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most * (num + den) >= (n1 + n2) * num)
 
 
-def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, rounds: int) -> DataFrame:
+def enough(n: Column, common: int, num: int, den: int) -> Column:
+    """How many prefix shingles a set of n has in common with any that it links with."""
+    return F.least(F.lit(common), F.ceil(n * num / den))
+
+
+def candidates(paired: DataFrame, common: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: pairs of p and q that share enough prefix shingles; one input row per shingle."""
+    p, q = F.struct("p.node", "p.n"), F.struct("q.node", "q.n")
+    some = paired.where(may_link("p", "q", num, den)).groupBy(F.least(p, q).alias("s"), F.greatest(p, q).alias("t")).agg(F.count("*").alias("shared"))
+    return some.where(F.col("shared") >= enough(F.greatest("s.n", "t.n"), common, num, den)).select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
+
+
+def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int) -> DataFrame:
     """(node, component) of the classes that link; a class's node is its smallest doc_id."""
-    classes = cut(
-        prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min("prefix").alias("prefix"))
+    classes = kept(
+        prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
         .withColumn("grp", F.xxhash64("n", "prefix"))
     )
-    groups = classes.groupBy("grp").agg(F.min("node").alias("first"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
-    tokens = groups.select("grp", "first", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct(F.xxhash64("first").alias("h"), F.col("first").alias("node"), "n", "pos")).alias("p")).where("groups > 1")
-    held = cut(tokens.join(shared, "token").select("token", "grp", "first", "n", "pos", "p"))
-    members = classes.select("grp", "node", "digest")
-    star = (
-        held.where(F.col("p.node") != F.col("first")).withColumn("q", F.struct("n", "pos")).where(may_link("p", "q", num, den))
-        .select(F.least("p.node", "first").alias("a"), F.greatest("p.node", "first").alias("b"))
-    )
-    within = members.join(groups.select("grp", "first"), "grp").where("node != first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-    pairs = cut(star.unionByName(within).distinct())
-    in_play = held.select("grp").distinct().unionByName(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
-    sets = cut(sets_of(rows, members.join(in_play, "grp").groupBy("node").agg(F.min("digest").alias("digest")), size))
+    groups = classes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # One shuffle by shingle serves the counts and the join with them.
+    tokens = groups.select("grp", "node", "members", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")).alias("p")
+    shared = tokens.groupBy("token").agg(F.sum("members").alias("classes"), pivot).where("classes > 1")
+    held = kept(tokens.join(shared, "token").select("token", "grp", F.struct("node", "n", "pos").alias("q"), "p"))
+    # A set that links with any shares enough prefix shingles; others are out of play.
+    play = kept(held.groupBy("grp", F.col("q.n").alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n"), common, num, den)).select("grp"))
+    members = kept(classes.join(play, "grp").select("grp", "node", "digest"))
+    held = held.join(play, "grp")
+    star = candidates(held.where(F.col("p.node") != F.col("q.node")), common, num, den)
+    first = members.groupBy("grp").agg(F.min("node").alias("a"))
+    within = members.join(first, "grp").where("node != a").select("a", F.col("node").alias("b"))
+    pairs = kept(star.unionByName(within).distinct())
+    sets = kept(sets_of(rows, members.groupBy("node").agg(F.min("digest").alias("digest")), size))
     # Rows of single classes from here on, as a group's classes may be in different components.
-    rest = held.select("token", "grp", "n", "pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos")
-    inner = members.join(members.groupBy("grp").count().where("count > 1"), "grp").join(classes.select("node", "n", "prefix"), "node")
-    rest = rest.unionByName(inner.select(F.get("prefix", F.lit(0)).alias("token"), "node", "n", F.lit(0).alias("pos"))).distinct()
+    rest = kept(held.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
 
     def verified(some: DataFrame) -> DataFrame:
         sides = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return cut(sides.select("a", "b", "x", "y").mapInArrow(verifier(num, den), "u long, v long"))
+        return kept(sides.select("a", "b", "x", "y").mapInArrow(verifier(num, den), "u long, v long"))
 
     links, tried = verified(pairs), pairs
     for k in range(rounds + 1):
         whole = components(links)
-        named = rest.join(whole, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-        mixed = named.groupBy("token").agg(
-            F.min("c").alias("c1"), F.max("c").alias("c2"),
-            F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), "node", "n", "pos", "c")).alias("p"),
-        ).where("c1 < c2")
+        named = rest.join(whole, "node", "left").select("token", F.struct("node", "n", "pos").alias("q"), F.coalesce("component", "node").alias("c"))
+        pivot = F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), "q.node", "q.n", "q.pos", "c")).alias("p")
+        mixed = named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), pivot).where("c1 < c2")
         if k < rounds:
-            both = named.join(mixed, "token").where(F.col("c") != F.col("p.c")).withColumn("q", F.struct("n", "pos"))
-            new = both.where(may_link("p", "q", num, den)).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
+            paired = named.join(mixed.select("token", "p"), "token").where(F.col("c") != F.col("p.c"))
         else:
-            left = named.join(mixed.select("token"), "token").select("token", F.col("c").alias("c1"), F.struct("node", "n", "pos").alias("p"))
-            right = named.select("token", F.col("c").alias("c2"), F.struct("node", "n", "pos").alias("q"))
-            new = (
-                left.join(right, "token").where(F.col("c1") != F.col("c2")).where(F.col("p.node") < F.col("q.node")).where(may_link("p", "q", num, den))
-                .select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-            )
-        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not new.take(1):
-            if k < rounds:
-                continue
+            left = named.join(mixed.select("token"), "token").select("token", F.col("c").alias("c1"), F.col("q").alias("p"))
+            paired = left.join(named, "token").where(F.col("c1") < F.col("c"))
+        new = kept(candidates(paired, common, num, den).join(tried, ["a", "b"], "left_anti"))
+        if new.take(1):
+            links, tried = links.unionByName(verified(new)), tried.unionByName(new)
+        elif k == rounds:
             return whole
-        links, tried = links.unionByName(verified(new)), tried.unionByName(new)
     return components(links)
 
 
@@ -193,20 +198,22 @@ def near_duplicates(
     shingle: int = 5,
     num: int = 80,
     den: int = 100,
-    bits: int = 17,
+    common: int = 6,
+    bits: int = 18,
     rounds: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
-    Two documents link when ``den * common >= num * union``.  ``bits`` sets the size of the
+    Two documents link when ``den * intersection >= num * union``.  ``common`` is how many
+    prefix shingles candidates share (prefixes grow by as many).  ``bits`` sets the size of the
     frequency table (2**bits counters, whatever the corpus), ``rounds`` how many further
     pivots are tried before all remaining pairs are.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    prefixes = cut(with_prefixes(rows, shingle, num, den, bits))
-    whole = link_components(prefixes, rows, shingle, num, den, rounds)
+    prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
+    whole = link_components(prefixes, rows, shingle, num, den, common, rounds)
     classes = prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
     named = classes.join(whole, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("c"))
     # Rows that share an id are one node, whatever their sets.

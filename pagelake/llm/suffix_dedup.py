@@ -32,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from pagelake.llm.common import as_bytes, mix, text_column
+from pagelake.llm.common import as_bytes, kept, mix, text_column
 from pagelake.operators.ordered import number_rows
-from pagelake.session import cut
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -193,7 +192,7 @@ def unique_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchored(rows: DataFrame, width: int) -> DataFrame:
-    """(h, c, uid, span) of anchor occurrences; h is null for copies that a batch holds itself."""
+    """(h, c, later, uid, span) of anchor occurrences; later: the batch holds the same earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(width)
@@ -208,18 +207,17 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
                 h, c, uid, span = h[order], c[order], uid[order], span[order]
                 later = np.zeros(len(h), bool)
                 later[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-                yield pa.RecordBatch.from_pydict(
-                    {"h": pa.array(h.view(np.int64), mask=later), "c": pa.array(c.view(np.int64), mask=later), "uid": uid, "span": span}
-                )
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "c": c.view(np.int64), "later": later, "uid": uid, "span": span})
 
-    return rows.select("uid", "text").mapInArrow(run, "h long, c long, uid long, span long")
+    return rows.select("uid", "text").mapInArrow(run, "h long, c long, later boolean, uid long, span long")
 
 
 def compared(found: DataFrame, part: int) -> DataFrame:
     """Copies (part is null) and contexts to sort: rows arrive by h, c and age.
 
     Contexts of an anchor are numbered as they come; every ``part`` of them form a part.
-    State is one pending row, whatever the number of occurrences.
+    What a batch knew to be later
+    comes last and is a copy in any case.  State is one pending row, whatever the number of occurrences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +262,7 @@ def compared(found: DataFrame, part: int) -> DataFrame:
                 }
             )
 
-    keyed = found.where("h is not null").repartition("h").sortWithinPartitions("h", "c", "uid", "span")
+    keyed = found.repartition("h").sortWithinPartitions("h", "c", "later", "uid", "span")
     return keyed.mapInArrow(run, "h long, part long, uid long, span long")
 
 
@@ -338,11 +336,10 @@ def remove_repeats(docs: DataFrame, width: int = 100, part: int = 2000, id_col:
     """
     rows = unique_rows(docs, id_col, text_col)
     found = anchored(rows, width)
-    own = found.where("h is null").select(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("part"), "uid", "span")
-    judged = cut(compared(found, part).unionByName(own))
+    judged = kept(compared(found, part))
     contexts = with_bytes(rows, judged.where("part is not null"), width)
     # Parts are of bounded length: width + 255 bytes a context.
-    ordered = cut(sorted_copies(contexts, width, part))
+    ordered = kept(sorted_copies(contexts, width, part))
     firsts = ordered.where("w is not null")
     least = firsts.groupBy("w").agg(F.min(F.struct("uid", "span")).alias("first"))
     again = firsts.join(least, "w").where(F.struct("uid", "span") > F.col("first")).select("uid", "span")

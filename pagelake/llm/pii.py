@@ -31,6 +31,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+MARKS = {"email": "@", "phone": "+"}
 WORD = r"\p{L}++"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -62,7 +63,10 @@ def holds(kind: str, match: Column) -> Column:
 
 
 def kind_spans(text: Column, rank: int, kind: str) -> Column:
-    spans = F.filter(found_at(text, PATTERNS[kind]), lambda s: holds(kind, s["match"]))
+    found = found_at(text, PATTERNS[kind])
+    if kind in MARKS:  # texts without the mark need no search
+        found = F.when(F.contains(text, F.lit(MARKS[kind])), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+    spans = F.filter(found, lambda s: holds(kind, s["match"]))
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("kind"), s["end"].alias("end")))
 
 
@@ -94,23 +98,30 @@ def of_kind(kind: int) -> Column:
     return F.filter("base", lambda s: s["kind"] == kind)
 
 
-def disclosing_terms(found: DataFrame, share: float, least_docs: int) -> DataFrame:
+def distinct_terms(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def disclosing_terms(docs: DataFrame, holders: DataFrame, share: float, least_docs: int, text_col: str) -> DataFrame:
     """(term, kind, share) for every term at or above the disclosure threshold.
 
-    Documents are reduced to their distinct terms, and these to counts before they are
-    shuffled.  The number of all documents and of those with each kind is one row.
+    First the terms that enough documents with a kind hold, then how many of all documents
+    hold these.  Documents are reduced to their distinct terms, and these to counts before
+    they are shuffled.  The number of all documents and of those with each kind is one row.
     """
     flags = [(F.size(of_kind(i)) > 0).cast("int").alias(f"k{i}") for i in range(len(KINDS))]
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     sums = [F.sum(f"k{i}").alias(f"k{i}") for i in range(len(KINDS))]
-    flagged = found.select(terms.alias("terms"), *flags)
-    counts = flagged.select(F.explode("terms").alias("term"), *[f"k{i}" for i in range(len(KINDS))]).groupBy("term").agg(F.count("*").alias("n"), *sums)
-    totals = found.select(*flags).agg(F.count("*").alias("n"), *sums).first()
+    with_kind = holders.select(F.explode(distinct_terms("text")).alias("term"), *flags).groupBy("term").agg(*sums)
+    likely = kept(with_kind.where(F.greatest(*[f"k{i}" for i in range(len(KINDS))]) >= least_docs))
+    every = docs.select(F.explode(distinct_terms(text_col)).alias("term")).join(likely.select("term"), "term", "left_semi")
+    counts = every.groupBy("term").agg(F.count("*").alias("n")).join(likely, "term")
+    n = docs.count()
+    totals = holders.select(*flags).agg(*sums).first()
     candidates = []
     for i in range(len(KINDS)):
-        if not totals["n"] or not totals[f"k{i}"] or totals[f"k{i}"] == totals["n"]:
+        if not n or not totals[f"k{i}"] or totals[f"k{i}"] == n:
             continue  # a kind that no or every document holds has nothing to disclose
-        content = -F.log2(F.lit(totals[f"k{i}"] / totals["n"]))
+        content = -F.log2(F.lit(totals[f"k{i}"] / n))
         information = F.log2(F.col(f"k{i}") / F.col("n")) + content
         candidates.append(F.when(F.col(f"k{i}") >= least_docs, F.struct(F.lit(i).alias("kind"), (information / content).alias("share"))))
     if not candidates:
@@ -129,26 +140,25 @@ def find(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, key (hash of the text), base spans and added term spans of every row.
+    """doc_id, key (hash of the text), base spans and added term spans of rows that have any.
 
     Spans are (start, kind, end); an added span's kind is 4 plus the number of the kind that
-    the term discloses, plus 4 more where it is to be removed.
+    the term discloses, plus 4 more where it is to be removed.  Texts are searched once; the
+    rows with base spans are written with their texts, for what follows.
     """
-    found = with_base(docs, id_col, text_col)
+    some = docs.where(F.col(text_col).rlike("[0-9@]"))
+    holders = kept(with_base(some, id_col, text_col).where(F.size("base") > 0))
     # Written and read again: its size is then known, and Spark broadcasts it only if it is small.
-    disclosing = kept(disclosing_terms(found, share, least_docs))
-    holders = found.where(F.size("base") > 0)
+    disclosing = kept(disclosing_terms(docs, holders, share, least_docs, text_col))
     kinds = F.array_distinct(F.transform("base", lambda s: s["kind"]))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     hits = (
-        holders.select("doc_id", "key", kinds.alias("kinds"), F.explode(terms).alias("term"))
+        holders.select("doc_id", "key", kinds.alias("kinds"), F.explode(distinct_terms("text")).alias("term"))
         .join(disclosing, "term").where(F.array_contains("kinds", F.col("kind")))
         .groupBy("doc_id", "key", "term").agg(F.max(F.struct("share", "kind")).alias("c"))
         .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("term", (F.col("c.kind") + len(KINDS) + F.when(F.col("c.share") >= remove_share, len(KINDS)).otherwise(0)).alias("kind"))).alias("hits"))
     )
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    holders, hits = holders.alias("a"), hits.alias("b")
+    a, b = holders.alias("a"), hits.alias("b")
 
     def named(spots: Column) -> Column:
         by_term = F.map_from_entries(F.col("b.hits"))
@@ -157,21 +167,21 @@ def find(
         spotted = let(own, lambda terms: F.filter(spots, lambda s: F.array_contains(terms, F.lower(s["match"])) & ~inside(s)))
         return let(by_term, lambda m: F.transform(spotted, lambda s: F.struct(s["start"].alias("start"), F.element_at(m, F.lower(s["match"])).alias("kind"), s["end"].alias("end"))))
 
-    added = (
-        holders.join(hits, same({"doc_id": F.col("a.doc_id"), "key": F.col("a.key")}, {"doc_id": F.col("b.doc_id"), "key": F.col("b.key")}))
-        .select("a.doc_id", "a.key", named(found_at(F.col("a.text"), WORD)).alias("added"))
-        .groupBy("doc_id", "key").agg(F.first("added").alias("added"))
-    )
-    left, right = found.select("doc_id", "key", "base").alias("l"), added.alias("r")
-    return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.key") == F.col("r.key")), "left").select(
-        "l.doc_id", "l.key", "l.base", F.coalesce("r.added", F.array().cast(SPAN)).alias("added")
-    )
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
+    added = F.when(F.col("b.hits").isNotNull(), named(found_at(F.col("a.text"), WORD))).otherwise(F.array().cast(SPAN))
+    return a.join(b, same, "left").select("a.doc_id", "a.key", "a.base", added.alias("added"))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """Counts by kind, the digest of the base spans, and all spans as text."""
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Counts by kind, the digest of the base spans, and all spans as text, of every row."""
+    found = find(docs, id_col=id_col, text_col=text_col, **options).dropDuplicates(["doc_id", "key"]).alias("f")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_column(docs, text_col)).alias("key")).alias("r")
+    none = F.array().cast(SPAN)
+    joined = rows.join(found, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key")), "left").select(
+        "r.doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added")
+    )
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return find(docs, **options).select(
+    return joined.select(
         "doc_id", *counts,
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"),
@@ -209,8 +219,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     spans = find(docs, id_col=id_col, text_col=text_col, **options)
     spans = (
-        spans.where((F.size("base") > 0) | (F.size("added") > 0))
-        .select(F.col("doc_id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.array_sort(F.concat("base", "added")).alias("_pii_spans"))
+        spans.select(F.col("doc_id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.array_sort(F.concat("base", "added")).alias("_pii_spans"))
         .dropDuplicates(["_pii_id", "_pii_key"])
     )
     key = F.xxhash64(text_column(docs, text_col))

@@ -26,19 +26,20 @@ def bloom_shape(expected: int = EXPECTED_ITEMS, rate: float = ERROR_RATE) -> tup
 
 
 def hex_mod(digest: Column, words: int, modulus: Column | int) -> Column:
-    """A hex digest as a big number modulo ``modulus`` (< 2**31), in bigint steps of 32 bits."""
+    """A hex digest of 32-bit words as a big number modulo ``modulus``.
+
+    In steps of 16 bits, so that a bigint holds every step for any modulus below 2**47.
+    """
     modulus = F.lit(modulus) if isinstance(modulus, int) else modulus
     rest = F.lit(0).cast("bigint")
-    for w in range(words):
-        word = F.conv(F.substring(digest, w * 8 + 1, 8), 16, 10).cast("bigint")
-        rest = (rest * F.lit(4294967296) + word) % modulus
+    for w in range(2 * words):
+        word = F.conv(F.substring(digest, w * 4 + 1, 4), 16, 10).cast("bigint")
+        rest = (rest * F.lit(65536).cast("bigint") + word) % modulus
     return rest
 
 
 def bloom_positions(item: Column | str, bits: int, hashes: int) -> Column:
     """The ``hashes`` bit positions of an item, by double hashing with MD5 and SHA-1."""
-    if bits >= 2**31:
-        raise ValueError("a filter must have fewer than 2**31 bits")
     item = col(item)
     first = hex_mod(F.md5(item), 4, bits)
     second = hex_mod(F.sha1(item), 5, bits)

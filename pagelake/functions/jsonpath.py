@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import col, strip
@@ -31,6 +31,10 @@ def path_to_variant(path: str) -> str:
 
 
 def parse(text: Column | str) -> Column:
+    """JSON text as a value, null if it does not parse; of a repeated key the last value counts."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return F.try_parse_json(col(text))
 
 

@@ -123,18 +123,23 @@ def template(pattern: str, values: Mapping[str, Column | str]) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python-style pattern for the JVM: Unicode classes, named groups in Java form."""
-    return "(?U)" + re.sub(r"\(\?P<", "(?<", pattern)
+    """A Python-style pattern for the JVM: Unicode classes, named groups by their numbers."""
+    numbers = re.compile(pattern).groupindex
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    return "(?U)" + re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{numbers[m[1]]})", plain)
 
 
-def java_replacement(replacement: str, groups: int) -> str:
-    r"""Python replacement text (``\1``, ``\g<1>``) in Java form, checked against the groups."""
+def java_replacement(replacement: str, groups: int, names: Mapping[str, int] | None = None) -> str:
+    r"""Python replacement text (``\1``, ``\g<1>``, ``\g<name>``) in Java form, checked against the groups."""
     out: list[str] = []
     at = 0
     while at < len(replacement):
-        ref = re.match(r"\\(?:g<(\d+)>|(\d{1,2}))", replacement[at:])
+        ref = re.match(r"\\(?:g<(\w+)>|(\d{1,2}))", replacement[at:])
         if ref:
-            number = int(ref.group(1) or ref.group(2))
+            named = ref.group(1) or ref.group(2)
+            if not named.isdigit() and named not in (names or {}):
+                raise ValueError(f"group {named} is not in the pattern")
+            number = int(named) if named.isdigit() else names[named]
             if number > groups:
                 raise ValueError(f"group {number} is not in the pattern")
             # A bare $1 followed by a digit would read as $10.

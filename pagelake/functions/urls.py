@@ -32,7 +32,9 @@ def query(url: Column | str) -> Column:
 
 
 def _decode(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    # A percent sign that starts no escape stands for itself; its neighbours are decoded.
+    whole = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
 def _encode(c: Column) -> Column:

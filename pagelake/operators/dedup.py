@@ -38,15 +38,11 @@ def latest_wins(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame
 def dedup_safe(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Keep the first row per trimmed key; rows with a blank key are all kept.
 
-    A blank-key row is a group of its own, named by its order columns (which must
-    identify a row), so blank rows spread over all tasks and the input is read once.
+    Blank rows are kept beside the grouping, whatever their order columns hold.
     """
     blank = tx.is_blank(F.col(f"`{key}`"))
-    own = F.when(blank, F.struct(*_cols(order)))
-    keyed = df.withColumns(
-        {"_key": F.when(~blank, tx.strip(F.col(f"`{key}`").cast("string"))), "_own": own}
-    )
-    return first_per_key(keyed, ["_key", "_own"], order).drop("_key", "_own")
+    keyed = df.filter(~blank).withColumn("_key", tx.strip(F.col(f"`{key}`").cast("string")))
+    return first_per_key(keyed, ["_key"], order).drop("_key").unionByName(df.filter(blank))
 
 
 def dedup_report(df: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pagelake.functions import text as tx
 from pagelake.functions import urls
 from pagelake.operators import dom
-from pagelake.session import spread
+from pagelake.session import ship, spread
 
 # The box that is the page itself, whatever elements it has.
 PAGE = ""
@@ -122,6 +122,7 @@ def extract_boxes(
                         out[name].append(_read(box, f))
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
+    ship(pages.sparkSession)
     return spread(pages.select(*dict.fromkeys([*keep, html]))).mapInArrow(boxes, schema)
 
 

@@ -80,7 +80,7 @@ def locate_items(df: DataFrame, text: str, item_path: str) -> DataFrame:
     which are zipped, as ``_lists``. Each step is a column of its own, so that a response
     is parsed once and looked at further only if the step before found nothing.
     """
-    df = df.withColumn("_root", F.try_parse_json(text)).filter(
+    df = df.withColumn("_root", jsonpath.parse(text)).filter(
         F.col(text).rlike(r"(?U)^[\s\x1c-\x1f]*[\[{]") & F.col("_root").isNotNull()
     )
     at_path = jsonpath.get("_root", item_path, VARIANTS) if item_path else F.lit(None).cast(VARIANTS)

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, fields as dataclass_fields
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,12 +108,28 @@ def condition(expression: str, columns: Iterable[str]) -> Column:
     return F.lit(True)
 
 
+def _java_compile(pattern: str) -> None:
+    """Raises ValueError where the JVM refuses a pattern; without a session nothing is checked."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(tx.java_pattern(pattern))
+    except Py4JJavaError as e:
+        raise ValueError(str(e.java_exception.getMessage())) from e
+
+
 def _checked_pattern(rule: Rule) -> int:
     """Number of groups of the pattern; a bad pattern or group is found before the job runs."""
     try:
         groups = re.compile(rule.pattern).groups
     except re.error as e:
         raise RuleError(f"{rule.type}: bad pattern {rule.pattern!r}: {e}") from e
+    try:
+        # What runs is Java's engine, so it has the last word.
+        _java_compile(rule.pattern)
+    except ValueError as e:
+        raise RuleError(f"{rule.type}: bad pattern {rule.pattern!r}: {e}") from e
     if rule.type == "regex_extract" and not 0 <= rule.group <= groups:
         raise RuleError(f"{rule.type}: no group {rule.group} in {rule.pattern!r}")
     return groups
@@ -163,7 +180,7 @@ def _apply(df: DataFrame, rule: Rule, guard: Column | None, keep_raw: bool) -> D
         else:
             hit = _has_value(source, source_type)
             try:
-                new = F.regexp_replace(value, pattern, tx.java_replacement(rule.replacement, groups))
+                new = F.regexp_replace(value, pattern, tx.java_replacement(rule.replacement, groups, re.compile(rule.pattern).groupindex))
             except ValueError as e:
                 raise RuleError(str(e)) from e
         otherwise = target_now.cast("string") if target_now is not None else F.lit(None).cast("string")
@@ -186,8 +203,13 @@ def _apply(df: DataFrame, rule: Rule, guard: Column | None, keep_raw: bool) -> D
         if target_now is None:
             return _assign(df, rule.into, value, guard)
         dtype = df.schema[rule.into].dataType
-        filled = F.when(_has_value(target_now, dtype), target_now).otherwise(value.cast(dtype))
-        return _assign(df, rule.into, filled, guard)
+        # A default that is no value of the column's type turns the column into text.
+        fits = df.sparkSession.range(1).select(value.try_cast(dtype).isNotNull()).first()[0]
+        if rule.default is not None and not fits:
+            target_now, value = target_now.cast("string"), value.cast("string")
+        else:
+            value = value.cast(dtype)
+        return _assign(df, rule.into, F.when(_has_value(_c(rule.into), dtype), target_now).otherwise(value), guard)
 
     if rule.type == "split":
         if not has_source or not rule.separator:
@@ -251,7 +273,7 @@ def postprocess(
             groups = re.compile(pattern).groups
             flag = "(?i)" if rule.get("ignorecase") else ""
             c = F.regexp_replace(
-                c, flag + tx.java_pattern(pattern), tx.java_replacement(replacement, groups)
+                c, flag + tx.java_pattern(pattern), tx.java_replacement(replacement, groups, re.compile(pattern).groupindex)
             )
         if rule.get("lower"):
             c = F.lower(c)

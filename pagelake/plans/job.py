@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import jsonpath, urls
 from pagelake.operators import dedup, enrich, extract, jsonitems, paging, profile, robots, rules
 from pagelake.plans.config import JobConfig
-from pagelake.session import cut
+from pagelake.session import cut, ship
 from pagelake.sources.store import append_new
 
 ORDER = ["page_no", "item_idx"]
@@ -84,6 +84,7 @@ def run_job(
     stop, a detail limit) they are read once into a reliable checkpoint; otherwise
     nothing runs until the result is used.
     """
+    ship(pages.sparkSession)
     cfg = config if isinstance(config, JobConfig) else JobConfig.of(config)
     plan = cfg.pagination
     if plan["type"] == "url_pattern":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -77,6 +78,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def byte_count(size: str) -> int:
+    """A size setting (``128m``, ``1GB``, ``134217728b``) in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) << 10 * (" kmgtp".index(unit) if unit else 0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before costly Python work.
 
@@ -89,7 +96,7 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    split = byte_count(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if cores > 1 and size < cores * split else df
 

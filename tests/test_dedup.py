@@ -101,3 +101,9 @@ def test_sticky(spark):
     assert got == {r["domain"]: r["proxy"] for r in enrich.sticky_assign(domains.repartition(3), bindings, table).collect()}
     none = enrich.sticky_assign(domains, bindings, table.filter("fails > 9")).collect()
     assert all(r["proxy"] is None for r in none)
+
+
+def test_blank_keys_are_kept_where_the_order_repeats(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), (" ", 1), (None, 1), ("", 1), ("", 1)], "link string, n int")
+    kept = [r["link"] for r in dedup.dedup_safe(df, "link", ["n"]).collect()]
+    assert sorted(k or "" for k in kept) == ["", "", "", " ", "a"]

@@ -82,3 +82,18 @@ def test_postprocess_order(spark):
     assert rules.postprocess(df, {"v": {"collapse_ws": True, "remove": "元", "regex_replace": ["B", "C"], "ignorecase": True, "upper": True}, "n": {"lower": True}}).first()["v"] == "AC 12 "
     assert rules.postprocess(df, {"v": {"digits_only": True}}).first()["v"] == "12"
     assert rules.postprocess(df, {"v": {"strip": False, "lower": True}}).first()["v"] == " ab  12 元 "
+
+
+def test_named_groups_and_back_references(spark):
+    df = spark.createDataFrame([("ab",), ("aa",)], "v string")
+    assert run(df, {"type": "replace", "source": "v", "pattern": "(?P<one_1>a)", "replacement": r"\g<one_1>!"}) == [{"v": "a!b"}, {"v": "a!a!"}]
+    out = run(df, {"type": "regex_extract", "source": "v", "target": "w", "pattern": "(?P<x>a)(?P=x)", "group": 0})
+    assert [r["w"] or "" for r in out] == ["", "aa"]
+    with pytest.raises((rules.RuleError, ValueError)):
+        rules.compile_rules([{"type": "replace", "source": "v", "pattern": "a", "replacement": r"\g<y>"}], strict=True)(df)
+
+
+def test_text_default_on_a_number_makes_text(spark):
+    df = spark.createDataFrame([(1, None), (2, 7)], "id int, v int")
+    assert [r["v"] for r in run(df, {"type": "default", "source": "v", "default": "sold out"})] == ["sold out", "7"]
+    assert [r["v"] for r in run(df, {"type": "default", "source": "v", "default": "3"})] == [3, 7]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,34 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts together hold ``size`` bytes or so, and one row at least.
+
+    What a task builds from a block is then bounded, whatever the batches hold.
+    """
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(total[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def coded_parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The parts of texts between ASCII white space: the distinct ones, a number for each part, and the texts' bounds.
+
+    White space at an edge leaves an empty part; memory follows the size of all texts together.
+    """
+    # Taken, as Arrow's string functions misread slices of large arrays.
+    texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))
+    parts = pc.ascii_split_whitespace(texts)
+    coded = parts.flatten().dictionary_encode()
+    bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())]).astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds
+
+
 def per_batch(
     make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

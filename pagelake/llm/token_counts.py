@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Memo, as_bytes, text_column
+from pagelake.llm.common import Memo, blocks, coded_parts, text_column
 
 MARK = "▁"
 #: Score of a character that no piece covers, below that of any piece.
@@ -44,8 +44,8 @@ class Trie:
     """
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        # Every ending of a piece, with the score where it is a piece itself.
+        self.endings: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(len(p))} | pieces
         self.path = ""
         self.nodes: list[tuple[float, int]] = [(0.0, 0)]
         self.scored = 0
@@ -55,13 +55,15 @@ class Trie:
         shared, most = 0, min(len(word), len(self.path))
         while shared < most and word[shared] == self.path[shared]:
             shared += 1
-        nodes, pieces = self.nodes, self.pieces
+        nodes, endings = self.nodes, self.endings
         del nodes[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             score, n = nodes[end - 1]
             best = (score + UNCOVERED, -n - 1)
-            for start in range(max(0, end - self.longest), end):
-                own = pieces.get(word[start:end])
+            for start in range(end - 1, -1, -1):
+                own = endings.get(word[start:end], 0.0)
+                if own == 0.0:  # no piece ends so
+                    break
                 if own is not None:
                     score, n = nodes[start]
                     best = max(best, (score + own, -n - 1))
@@ -74,26 +76,21 @@ class Trie:
 def count_tokens(docs: DataFrame, vocabulary: str, known: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens and n_tokens of every row.
 
-    A task keeps the counts of up to twice ``known`` pre-tokens; the trie of each batch of
-    new ones exists only as the current path.
+    A task keeps the counts of up to twice ``known`` pre-tokens; of the trie only the current
+    path exists.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, memo = pieces_of(vocabulary), Memo(known)
-        for batch in batches:
-            words, tokens = [], []
-            split = [t.split() for t in as_bytes(batch.column("text"))]
-            for i in range(0, len(split), 128):
-                some = split[i : i + 128]
-                trie = Trie(pieces)
-                for word in sorted(memo.missing(set().union(*some))):
-                    memo.young[word] = trie.insert(MARK + word.decode())
-                for parts in some:
-                    words.append(len(parts))
-                    tokens.append(int(np.fromiter(map(memo.young.__getitem__, parts), np.int64, len(parts)).sum()))
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_pretokens": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())}
-            )
+        trie, memo = Trie(pieces_of(vocabulary)), Memo(known)
+        for block in blocks(batches, "text", 4 << 20):
+            parts, at, bounds = coded_parts(block.column("text"))
+            for word in sorted(memo.missing(set(parts) - {""})):
+                memo.young[word] = trie.insert(MARK + word)
+            tokens = np.array([memo.young[p] if p else 0 for p in parts], np.int64)
+            real = np.array([p != "" for p in parts], np.int64)
+            counts = [np.concatenate([[0], np.cumsum(each[at])])[bounds] for each in (real, tokens)]
+            words, tokens = (np.diff(c).astype(np.int64) for c in counts)
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "n_pretokens": words, "n_tokens": tokens})
 
     return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

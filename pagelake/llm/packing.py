@@ -15,16 +15,19 @@ text columns are read, whatever else the table holds.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Memo, as_bytes, text_column
+from pagelake.llm.common import Memo, blocks, coded_parts, text_column
 
 CUTS = pa.schema(
     [
@@ -34,6 +37,10 @@ CUTS = pa.schema(
 )
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+END_MARKS = (".", ",", ";", ":", "!", "?")
+#: Byte-level vocabularies write bytes that do not print as the characters from 256 on.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 
 class Tokenizer:
     """Token ids of whole texts as packed 32-bit integers.
@@ -42,26 +49,40 @@ class Tokenizer:
     its white-space separated parts, each of which is tokenised once and remembered.
     """
 
-    def __init__(self, path: str, known: int = 150_000):
+    def __init__(self, path: str, known: int = 300_000):
+        # One task is one thread; the library's own threads would take other tasks' cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Native
 
         self.native, self.memo = Native.from_file(path), Memo(known)
 
-    def learn(self, parts: set[bytes]) -> None:
-        new = self.memo.missing(parts)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for part, e in zip(some, self.native.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.memo.young[part] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        # Lower-casing is the tokenizer's own first step; special ids are matched before it.
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        for i in range(0, len(split), 64):
-            self.learn(set().union(*split[i : i + 64]))
-            known = self.memo.young
-            for parts in split[i : i + 64]:
-                yield b"".join([known[p] for p in parts])
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts; lower-casing is the tokenizer's own first step, special ids are matched before it."""
+        parts = [p.lower() if p.isascii() and "<|" not in p else p for p in parts]
+        new = self.memo.missing(set(parts))
+        known, native = self.memo.young, self.native
+        for part in new:
+            # The tokenizer normalises and splits nothing in lower-case letters, and splits a mark off after them.
+            word, mark = (part[:-1], part[-1]) if part[-1:] in END_MARKS else (part, "")
+            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+                known[part] = b"".join(np.array([t.id for t in native.model.tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes() for x in (word, mark) if x)
+        others = [p for p in new if p not in known]
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            for part, e in zip(some, native.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[part] = np.array(e.ids, "<u4").tobytes()
+        return [known[p] for p in parts]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; memory follows the size of all of them together."""
+        parts, at, bounds = coded_parts(texts)
+        ids = self.ids_of(parts)
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        ends = np.concatenate([[0], np.cumsum(length[at])])
+        flat = pool[np.repeat(first[at] - ends[:-1], length[at]) + np.arange(ends[-1])]
+        return [flat[i:j].tobytes() for i, j in pairwise(ends[bounds].tolist())]
 
 
 def bin_slack(counts: Counter, capacity: int) -> tuple[list[int], int]:
@@ -154,10 +175,10 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokenizer(tokenizer)
-        for batch in batches:
+        for block in blocks(batches, "text"):
             out = {name: [] for name in CUTS.names}
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, packed in zip(ids, tokens.encode(as_bytes(batch.column("text"))), strict=True):
+            ids = block.column("doc_id").to_pylist()
+            for doc_id, packed in zip(ids, tokens.encode(block.column("text")), strict=True):
                 packed += end
                 n, whole = len(packed) // 4, zlib.crc32(packed)
                 for start in range(0, n, capacity):

@@ -59,7 +59,7 @@ def coded_parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     parts = pc.ascii_split_whitespace(texts)
     coded = parts.flatten().dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())]).astype(np.int64)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), bounds
 
 
 def per_batch(

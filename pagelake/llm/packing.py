@@ -15,11 +15,13 @@ text columns are read, whatever else the table holds.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import chain, pairwise
 from unicodedata import is_normalized
 
 import numpy as np
@@ -38,8 +40,6 @@ CUTS = pa.schema(
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 END_MARKS = (".", ",", ";", ":", "!", "?")
-#: Byte-level vocabularies write bytes that do not print as the characters from 256 on.
-BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Tokenizer:
@@ -55,24 +55,48 @@ class Tokenizer:
         from tokenizers import Tokenizer as Native
 
         self.native, self.memo = Native.from_file(path), Memo(known)
+        # For words: no steps before the model but to part them and to write bytes as characters.
+        shape = json.loads(self.native.to_str())
+        steps = [{"type": "WhitespaceSplit"}, *(s for s in shape["pre_tokenizer"]["pretokenizers"] if s["type"] == "ByteLevel")]
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "added_tokens": []}
+        self.words = Native.from_str(json.dumps(shape | bare))
+        self.marks = {m: np.array(self.native.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in END_MARKS}
+        # A word's last id, and no other of its ids, stands for an ending.
+        ending = [i for t, i in self.native.get_vocab(False).items() if t.endswith(shape["model"]["end_of_word_suffix"])]
+        self.ending = np.zeros(max(ending) + 1, bool)
+        self.ending[ending] = True
 
     def ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of parts; lower-casing is the tokenizer's own first step, special ids are matched before it."""
         parts = [p.lower() if p.isascii() and "<|" not in p else p for p in parts]
         new = self.memo.missing(set(parts))
-        known, native = self.memo.young, self.native
+        known, marks, plain, others = self.memo.young, self.marks, {}, []
         for part in new:
             # The tokenizer normalises and splits nothing in lower-case letters, and splits a mark off after them.
-            word, mark = (part[:-1], part[-1]) if part[-1:] in END_MARKS else (part, "")
-            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
-                known[part] = b"".join(np.array([t.id for t in native.model.tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes() for x in (word, mark) if x)
-        others = [p for p in new if p not in known]
+            word = part[:-1] if part[-1:] in marks else part
+            if word.isalpha() and (word.isascii() or word == word.lower() and is_normalized("NFC", word)):
+                plain[part] = word
+            else:
+                others.append(part)
+        words = list(dict.fromkeys(plain.values()))
+        packed = self.ids_of_words(words)
+        for part, word in plain.items():
+            known[part] = packed[word] if len(word) == len(part) else packed[word] + marks[part[-1]]
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            for part, e in zip(some, native.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for part, e in zip(some, self.native.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
         return [known[p] for p in parts]
 
+    def ids_of_words(self, words: list[str], run: int = 256) -> dict[str, bytes]:
+        """The ids of lower-case words, asked for by runs of words and cut where words end."""
+        runs = [" ".join(words[i : i + run]) for i in range(0, len(words), run)]
+        # One run at a time: what the library holds besides the ids is freed at once.
+        found = (self.words.encode_batch_fast([r], add_special_tokens=False)[0].ids for r in runs)
+        ids = np.fromiter(chain.from_iterable(found), "<u4")
+        ends, packed = (4 * np.nonzero(self.ending[ids])[0] + 4).tolist(), ids.tobytes()
+        return dict(zip(words, (packed[i:j] for i, j in pairwise([0, *ends])), strict=True))
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; memory follows the size of all of them together."""
         parts, at, bounds = coded_parts(texts)
@@ -85,6 +109,12 @@ class Tokenizer:
         return [flat[i:j].tobytes() for i, j in pairwise(ends[bounds].tolist())]
 
 
+@lru_cache(1)
+def tokenizer_at(path: str) -> Tokenizer:
+    """One tokenizer for all tasks of a Python worker, with what it remembers."""
+    return Tokenizer(path)
+
+
 def bin_slack(counts: Counter, capacity: int) -> tuple[list[int], int]:
     """The multiset of lengths with the longest one in it that fills the capacity best, and its uses.
 
@@ -174,7 +204,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(tokenizer)
+        tokens = tokenizer_at(tokenizer)
         for block in blocks(batches, "text"):
             out = {name: [] for name in CUTS.names}
             ids = block.column("doc_id").to_pylist()

@@ -39,22 +39,26 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
-def unit(vectors: list, dim: int) -> np.ndarray:
+def unit(vectors: pa.Array, dim: int) -> np.ndarray:
     """Rows of length one, padded with zeros to one dimension."""
-    out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    filled = np.arange(dim) < lengths(vectors)[:, None]
+    out = np.zeros(filled.shape)
+    out[filled] = vectors.flatten().to_numpy(zero_copy_only=False)
     out /= np.abs(out).max(1, keepdims=True)  # before squaring, so that nothing overflows
     return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
+def lengths(vectors: pa.Array) -> np.ndarray:
+    return vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def directions(distinct: DataFrame, dim: int, lead: int, sample: int) -> np.ndarray:
     """Leading principal directions of at most ``sample`` vectors, chosen by a hash.
 
     They decide only how much is skipped, never what is found.
     """
     rows = distinct.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()
-    x = unit([r[0] for r in rows], dim)
+    x = unit(pa.array([r[0] for r in rows], pa.list_(pa.float64())), dim)
     values, vectors = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(dim))
     return vectors[:, np.argsort(values)[::-1][:lead]]
 
@@ -91,9 +95,9 @@ def find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def join_blocks(first: dict, second: dict, axes: np.ndarray, dim: int, least: float) -> tuple[np.ndarray, np.ndarray, list]:
+def join_blocks(first: pa.StructScalar, second: pa.StructScalar, axes: np.ndarray, dim: int, least: float) -> tuple[np.ndarray, np.ndarray, list]:
     """Links between two blocks (or within one): weight per vector on both sides, and a forest."""
-    same = first["block"] == second["block"]
+    same = first["block"].as_py() == second["block"].as_py()
     x, y = unpack(first, dim), unpack(second, dim)
     (ux, nx, wx, ix), (uy, ny, wy, iy) = x, y
     eps = np.sqrt(2 - 2 * least)
@@ -111,7 +115,7 @@ def join_blocks(first: dict, second: dict, axes: np.ndarray, dim: int, least: fl
         if close.any():
             keep = ~close
             for k in np.nonzero(close)[0]:
-                keep[k] = exact(first["vectors"][i[k]], second["vectors"][j[k]]) >= least
+                keep[k] = exact(first["vectors"].values[i[k]].as_py(), second["vectors"].values[j[k]].as_py()) >= least
             i, j = i[keep], j[keep]
         if same:
             other = i != j
@@ -133,9 +137,14 @@ def exact(x: list, y: list) -> float:
     return float(a @ b / np.sqrt((a @ a) * (b @ b)))
 
 
-def unpack(block: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.array([len(v) for v in block["vectors"]])
-    return unit(block["vectors"], dim), lengths, np.array(block["copies"], np.int64), np.array(block["ids"], np.int64)
+def unpack(block: pa.StructScalar, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    vectors = block["vectors"].values
+    return unit(vectors, dim), lengths(vectors), block["copies"].values.to_numpy(), block["ids"].values.to_numpy()
+
+
+def whole_list(column: pa.Array) -> pa.Array:
+    """A column's values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
 def interval_pairs(blocks: DataFrame, eps: float, fan: int = 8) -> DataFrame:
@@ -201,36 +210,34 @@ def near_vectors(
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            if vectors:
+            if batch.num_rows:
+                vectors = batch.column("embedding")
                 cells = np.floor((unit(vectors, dim) @ axes) / eps).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist())], names=[*batch.schema.names, "cell"])
 
     in_order = distinct.mapInArrow(placed, "embedding array<double>, least long, copies long, id long, cell array<long>")
     parts = max(1, -(-distinct.count() // (4 * block_rows)))
     # The id last: one crowded cell is spread over several ranges.
-    in_order = in_order.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id").withColumn("part", F.spark_partition_id())
+    in_order = in_order.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id").withColumn("part", F.spark_partition_id().cast("long"))
     shape = "part long, piece long, low array<double>, high array<double>, ids array<long>, copies array<long>, vectors array<array<double>>"
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, held = 0, []
-        def emit() -> pa.RecordBatch:
-            vectors = [r["embedding"] for r in held]
-            c = boxes(unit(vectors, dim), axes)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "part": [held[0]["part"]], "piece": [piece], "low": [c.min(0).tolist()], "high": [c.max(0).tolist()],
-                    "ids": [[r["id"] for r in held]], "copies": [[r["copies"] for r in held]], "vectors": [vectors],
-                }
-            )
+        piece, held = 0, None
+
+        def emit(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks().to_batches()[0]
+            c = boxes(unit(rows.column("embedding"), dim), axes)
+            lists = {name: whole_list(rows.column(of)) for name, of in (("ids", "id"), ("copies", "copies"), ("vectors", "embedding"))}
+            return pa.RecordBatch.from_pydict({"part": rows.column("part")[:1], "piece": [piece], "low": [c.min(0).tolist()], "high": [c.max(0).tolist()], **lists})
+
         for batch in batches:
-            for r in batch.to_pylist():
-                held.append(r)
-                if len(held) == block_rows:
-                    yield emit()
-                    piece, held = piece + 1, []
-        if held:
-            yield emit()
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            while held.num_rows >= block_rows:
+                yield emit(held[:block_rows])
+                piece, held = piece + 1, held[block_rows:]
+        if held is not None and held.num_rows:
+            yield emit(held)
 
     found = cut(in_order.mapInArrow(blocked, shape))
     # One row per range partition: how many blocks come before it.
@@ -248,10 +255,10 @@ def near_vectors(
     def links(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             for k in range(batch.num_rows):
-                x, y = batch.column("x")[k].as_py(), batch.column("y")[k].as_py()
+                x, y = batch.column("x")[k], batch.column("y")[k]
                 got_x, got_y, forest = join_blocks(x, y, axes, dim, least)
                 i, j = np.nonzero(got_x)[0], np.nonzero(got_y)[0]
-                ids = np.array(x["ids"], np.int64)[i].tolist() + np.array(y["ids"], np.int64)[j].tolist()
+                ids = x["ids"].values.to_numpy()[i].tolist() + y["ids"].values.to_numpy()[j].tolist()
                 weights = got_x[i].tolist() + got_y[j].tolist()
                 none = [None] * len(forest)
                 yield pa.RecordBatch.from_pydict(

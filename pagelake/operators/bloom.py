@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.functions.hashing import bloom_positions, bloom_shape
+from pagelake.functions.hashing import ERROR_RATE, bloom_positions, bloom_shape
 from pagelake.functions.text import col
 
 
+def shape_for(items: DataFrame, item: str, rate: float = ERROR_RATE) -> tuple[int, int]:
+    """(bits, hashes) for the distinct items of a table, which are counted first: one row comes back."""
+    n = items.select(col(item).alias("item")).filter("item is not null").distinct().count()
+    return bloom_shape(max(n, 1), rate)
+
+
 def positions(items: DataFrame, item: str, bits: int, hashes: int) -> DataFrame:
     """``(item, pos)`` for each distinct item: copies cost nothing past the map side."""
     keys = items.select(col(item).alias("item")).filter("item is not null").distinct()
@@ -58,4 +64,4 @@ def count(words: DataFrame, bits: int, hashes: int) -> DataFrame:
     )
 
 
-__all__ = ["bloom_shape", "build", "contains", "count", "merge", "positions"]
+__all__ = ["bloom_shape", "build", "contains", "count", "merge", "positions", "shape_for"]

@@ -120,7 +120,7 @@ def _(t):
 BITS, HASHES = bloom_shape(10_000, 0.001)
 
 
-def _mod_sql(digest: str, words: int, bits: int) -> str:
+def _mod_sql(digest: str, words: int, bits: int | str) -> str:
     """A hex digest modulo ``bits`` as nested integer arithmetic."""
     out = "0::hugeint"
     for w in range(words):
@@ -201,6 +201,71 @@ def _(t):
     return bloom.count(bloom.build(_doc_items(t.documents), "item", BITS, HASHES), BITS, HASHES)
 
 
+# The three above have one shape whatever the table; these have that of the items they hold.
+
+
+def _sized_sql(items: str, known: str) -> str:
+    """Positions of items in a filter whose shape follows from the number of known items."""
+    return f"""
+        select item, ((a + i * b) % bits)::bigint as pos, bits, hashes from (
+            select item, bits, hashes, ({_mod_sql('md5(item)', 4, 'bits')}) as a, ({_mod_sql('sha1(item)', 5, 'bits')}) as b,
+                   unnest(generate_series(0, hashes - 1)) as i
+            from ({items}), (
+                select floor(size)::bigint as bits, floor(size / n * ln(2))::bigint as hashes
+                from (select n, -n * ln(0.001) / pow(ln(2), 2) as size from (select greatest(count(*), 1) as n from ({known})))
+            )
+        )
+    """
+
+
+_DOC_ITEMS_SQL = f"select distinct {_DOC_URL_SQL} as item from documents"
+_KNOWN_ITEMS_SQL = f"select distinct {_DOC_URL_SQL} as item from documents join labels using (doc_id)"
+
+
+@query(
+    "bloom_build_sized",
+    f"""
+    select pos // 64 as word, count(distinct pos)::int as set_bits, sum(distinct (pos % 64))::bigint as places
+    from ({_sized_sql(_DOC_ITEMS_SQL, _DOC_ITEMS_SQL)}) group by 1
+    """,
+)
+def _(t):
+    items = _doc_items(t.documents)
+    words = bloom.build(items, "item", *bloom.shape_for(items, "item"))
+    set_places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return words.select(
+        "word", F.bit_count("bits").alias("set_bits"),
+        F.aggregate(set_places, F.lit(0).cast("bigint"), lambda acc, i: acc + i).alias("places"),
+    )
+
+
+@query(
+    "bloom_contains_sized",
+    f"""
+    with known as ({_sized_sql(_KNOWN_ITEMS_SQL, _KNOWN_ITEMS_SQL)}), asked as ({_sized_sql(_DOC_ITEMS_SQL, _KNOWN_ITEMS_SQL)})
+    select item, bool_and(pos in (select pos from known)) as maybe from asked group by item
+    """,
+)
+def _(t):
+    known = _doc_items(t.documents.join(t.labels, "doc_id"))
+    shape = bloom.shape_for(known, "item")
+    return bloom.contains(_doc_items(t.documents), "item", bloom.build(known, "item", *shape), *shape)
+
+
+@query(
+    "bloom_count_sized",
+    f"""
+    select count(distinct pos)::bigint as set_bits,
+           floor(-(any_value(bits)::double / any_value(hashes)) * ln(1 - count(distinct pos) / any_value(bits)::double)) as estimate
+    from ({_sized_sql(_DOC_ITEMS_SQL, _DOC_ITEMS_SQL)})
+    """,
+)
+def _(t):
+    items = _doc_items(t.documents)
+    shape = bloom.shape_for(items, "item")
+    return bloom.count(bloom.build(items, "item", *shape), *shape)
+
+
 # --- enrichment ---------------------------------------------------------------------------
 
 

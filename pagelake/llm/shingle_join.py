@@ -77,10 +77,10 @@ def slot_ranks(rows: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def with_prefixes(rows: DataFrame, size: int, num: int, den: int, common: int, bits: int) -> DataFrame:
-    """doc_id, n, digest of the set and its prefix of every row."""
+    """doc_id, text_hash, n, digest of the set and its prefix of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(slot_ranks(rows, size, bits))
     mask = np.uint64((1 << bits) - 1)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
@@ -92,21 +92,24 @@ def with_prefixes(rows: DataFrame, size: int, num: int, den: int, common: int, b
                 digests.append(xxh3_128_digest(s.tobytes()))
                 keep = len(s) - -(-num * len(s) // den) + common if len(s) else 0
                 prefixes.append(s[np.lexsort((s, ranks[(s & mask).astype(np.int64)]))[:keep]].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": ns, "digest": digests, "prefix": prefixes}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": ns, "digest": digests, "prefix": prefixes}, schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, prefix array<long>")
 
 
 def sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set): the whole sets of some classes, as packed hashes; nodes has node and digest."""
+    """(node, set): the whole sets of some classes, as packed hashes; nodes has node, digest, doc_id and text_hash.
+
+    A row gives the set of the one class that names its id and text, whatever other rows share the id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, d, shingle_set(t, size).tobytes()) for i, d, t in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), as_bytes(batch.column("text")), strict=True)]
+            found = [(i, d, shingle_set(t, size).tobytes()) for i, d, t in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), as_bytes(batch.column("text")), strict=True)]
             found = [(i, s) for i, d, s in found if xxh3_128_digest(s) == d]
             yield pa.RecordBatch.from_pydict({"node": pa.array([i for i, _ in found], pa.int64()), "set": pa.array([s for _, s in found], pa.binary())})
 
-    wanted = rows.join(nodes.select(F.col("node").alias("doc_id"), "digest"), "doc_id").select("doc_id", "digest", "text")
+    wanted = rows.join(nodes.select("node", "digest", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "digest", "text")
     return wanted.mapInArrow(run, "node long, set binary")
 
 
@@ -147,10 +150,14 @@ def candidates(paired: DataFrame, common: int, num: int, den: int) -> DataFrame:
 
 
 def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int) -> DataFrame:
-    """(node, component) of the classes that link; a class's node is its smallest doc_id."""
+    """(digest, n, c) of the classes; c is the smallest doc_id of those that links reach.
+
+    A class's node is a number of its own, as classes may have the smallest doc_id in common.
+    """
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     classes = kept(
-        prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-        .withColumn("grp", F.xxhash64("n", "prefix"))
+        prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(one, F.first("prefix").alias("prefix"))
+        .select("digest", "n", "one.doc_id", "one.text_hash", "prefix", F.xxhash64("n", "prefix").alias("grp"), F.monotonically_increasing_id().alias("node"))
     )
     groups = classes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # One shuffle by shingle serves the counts and the join with them.
@@ -160,13 +167,13 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     held = kept(tokens.join(shared, "token").select("token", "grp", F.struct("node", "n", "pos").alias("q"), "p"))
     # A set that links with any shares enough prefix shingles; others are out of play.
     play = kept(held.groupBy("grp", F.col("q.n").alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n"), common, num, den)).select("grp"))
-    members = kept(classes.join(play, "grp").select("grp", "node", "digest"))
+    members = kept(classes.join(play, "grp").select("grp", "node", "digest", "doc_id", "text_hash"))
     held = held.join(play, "grp")
     star = candidates(held.where(F.col("p.node") != F.col("q.node")), common, num, den)
     first = members.groupBy("grp").agg(F.min("node").alias("a"))
     within = members.join(first, "grp").where("node != a").select("a", F.col("node").alias("b"))
     pairs = kept(star.unionByName(within).distinct())
-    sets = kept(sets_of(rows, members.groupBy("node").agg(F.min("digest").alias("digest")), size))
+    sets = kept(sets_of(rows, members, size))
     # Rows of single classes from here on, as a group's classes may be in different components.
     rest = kept(held.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
 
@@ -189,8 +196,14 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
         if new.take(1):
             links, tried = links.unionByName(verified(new)), tried.unionByName(new)
         elif k == rounds:
-            return whole
-    return components(links)
+            break
+    else:
+        whole = components(links)
+    # A component's own node is not among the nodes of its table.
+    whole = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())
+    linked = whole.join(classes.select("node", "doc_id"), "node")
+    smallest = linked.join(linked.groupBy("component").agg(F.min("doc_id").alias("c")), "component").select("node", "c")
+    return classes.join(smallest, "node", "left").select("digest", "n", F.coalesce("c", "doc_id").alias("c"))
 
 
 def near_duplicates(
@@ -211,16 +224,16 @@ def near_duplicates(
     frequency table (2**bits counters, whatever the corpus), ``rounds`` how many further
     pivots are tried before all remaining pairs are.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
+    text = text_column(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
-    whole = link_components(prefixes, rows, shingle, num, den, common, rounds)
-    classes = prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
-    named = classes.join(whole, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("c"))
+    named = link_components(prefixes, rows, shingle, num, den, common, rounds)
     # Rows that share an id are one node, whatever their sets.
     by_id = prefixes.where("doc_id is not null and n > 0").join(named, ["digest", "n"]).select("doc_id", "c")
     chains = by_id.groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u < v")
     if chains.take(1):
-        over = components(chains.select("u", "v"))
+        # Every component that an id has rows in, not just the outer two.
+        over = components(by_id.join(chains, "doc_id").where("c != u").select("u", F.col("c").alias("v")))
         by_id = by_id.join(over, by_id["c"] == over["node"], "left").select("doc_id", F.coalesce("component", "c").alias("c"))
     by_id = by_id.groupBy("doc_id").agg(F.min("c").alias("c"))
     return prefixes.join(by_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

@@ -282,6 +282,12 @@ def near_vectors(
     named = classes.join(smallest, "component").select(F.col("embedding").alias("_v"), "n_links", "component_id")
     linked = rows.join(named, rows["embedding"] == named["_v"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
+    out = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    # Rows that share an id are one node: the components they are in are one.
+    chains = out.where("vec_id is not null").groupBy("vec_id").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v")).where("u < v")
+    if chains.take(1):
+        over = components(out.join(chains, "vec_id").where("component_id != u").select("u", F.col("component_id").alias("v")))
+        out = out.join(over, out["component_id"] == over["node"], "left").select("vec_id", "n_links", F.coalesce("component", "component_id").alias("component_id"))
+    return out.withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts
+from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts, whitening
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op9(table):
 @query("op10_suffix_dedup")
 def op10(table):
     return suffix_dedup.remove_repeats(table("documents")).drop("kept")
+
+
+@query("op13_whitening")
+def op13(table):
+    return whitening.whiten(table("embeddings"))

@@ -41,12 +41,19 @@ def test_stages_take_effect_and_keep_the_columns(spark):
         assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
 
 
+TABLES = {"op3": "embeddings", "op12": "conversations", "op13": "embeddings"}
+#: Queries that do not give one row for every row of their table.
+OTHER_ROWS = ("op1", "op7", "op12", "op13")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_table(spark, name):
-    table = "embeddings" if name.startswith("op3") else "documents"
-    n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
+    op = name.split("_")[0]
+    table = TABLES.get(op, "documents")
+    key = {"documents": "doc_id", "embeddings": "vec_id", "conversations": "conv_id"}[table]
+    rows = spark.read.parquet(f"{FOLDER}/{table}.parquet")
     found = QUERIES[name](spark, FOLDER)
-    if not name.startswith(("op1_", "op7_")):
-        assert found.count() == n
-    key = "vec_id" if table == "embeddings" else "doc_id"
-    assert found.select(key).distinct().count() == (n if not name.startswith("op7_") else found.select(key).distinct().count())
+    if op not in OTHER_ROWS:
+        assert found.count() == rows.count()
+    if op != "op7":
+        assert found.select(key).distinct().count() == rows.select(key).distinct().count()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators.dedup import latest_wins
+from pagelake.sources.versions import Versions, names_in, remove
 
 ITEMS = "array<map<string,string>>"
 
@@ -32,25 +35,52 @@ def parse_lines(lines: DataFrame, text: str = "value", order: list[str] | None =
 
 
 def load(spark: SparkSession, path: str, sig: str) -> DataFrame:
-    """The checkpoint of one contract; an absent one is empty. Other contracts are not read."""
+    """The checkpoint of one contract; an absent one is empty. Other contracts are not read.
+
+    The order of the saves decides, as their folders are numbered; files put there by hand
+    count as older than any save.
+    """
     folder = f"{path}/sig={sig}"
-    if not _exists(spark, folder):
+    saves = Versions(spark, folder).latest()[1].get("saves", [])
+    loose = [name for name, is_dir in names_in(spark, folder) if not is_dir and name[0] not in "_."]
+    places = [f"{folder}/{name}" for name in (*saves, *loose)]
+    if not places:
         return spark.createDataFrame([], f"page_no bigint, items {ITEMS}")
-    lines = spark.read.text(folder).select(
-        "value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"),
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/save=(\d+)-[0-9a-f]+/[^/]*$", 1)
+    lines = spark.read.text(places).select(
+        "value", F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("save"), F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"),
     )
-    return parse_lines(lines, order=["at", "file", "block", "line_no"])
+    return parse_lines(lines, order=["save", "file", "block", "line_no"])
 
 
-def save(pages: DataFrame, path: str, sig: str) -> None:
+def save(pages: DataFrame, path: str, sig: str, most_saves: int = 200) -> None:
     """Add pages ``(page_no, items)`` to a contract's checkpoint.
 
-    An append is one job commit: all pages or none become visible, and nothing already
-    saved is rewritten. Of several saves of a page the latest counts when loading.
+    The pages go to a folder of their own, which one commit makes part of the checkpoint: all
+    become visible or none. Of several saves of a page the latest counts. When ``most_saves``
+    have gathered they are written as one.
     """
+    spark = pages.sparkSession
+    versions = Versions(spark, f"{path}/sig={sig}")
     line = F.to_json(F.struct(F.col("page_no").alias("page"), "items"))
-    pages.select(line.alias("value")).write.mode("append").text(f"{path}/sig={sig}")
+
+    def add(number: int, manifest: dict) -> dict:
+        saves = manifest.get("saves", [])
+        rows = pages
+        if len(saves) >= most_saves:
+            rows, saves = merge_saves(load(spark, path, sig), pages), []
+        name = f"save={number + 1:012d}-{uuid.uuid4().hex[:12]}"
+        rows.select(line.alias("value")).write.text(f"{path}/sig={sig}/{name}")
+        return {"saves": [*saves, name]}
+
+    versions.change(add)
+
+
+def merge_saves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pages after a further save; a page of the new one replaces the old."""
+    sides = old.withColumn("_side", F.lit(0)).unionByName(new.select("page_no", "items").withColumn("_side", F.lit(1)))
+    return latest_wins(sides, ["page_no"], ["_side"]).drop("_side")
 
 
 def compact(spark: SparkSession, path: str, sig: str, into: str) -> None:
@@ -60,19 +90,4 @@ def compact(spark: SparkSession, path: str, sig: str, into: str) -> None:
 
 def clear(spark: SparkSession, path: str, sig: str) -> bool:
     """Drop a contract's pages after success; False if there were none."""
-    folder = f"{path}/sig={sig}"
-    if not _exists(spark, folder):
-        return False
-    fs, where = _fs(spark, folder)
-    return bool(fs.delete(where, True))
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
-    return bool(fs.exists(where))
+    return remove(spark, f"{path}/sig={sig}")

@@ -1,24 +1,24 @@
 """A keyed table on Parquet: append, upsert, query, count, status, audit.
 
-Rows are laid out by ``site_name`` and a hash bucket of the key. An upsert reads and
-replaces only the partitions its batch touches, so a small batch into a large table
-costs what it touches.
+Rows are dealt to slots by a hash of the site and a hash of the key. An upsert writes the
+slots its batch touches to a fresh folder and commits a manifest that points at them, so a
+small batch into a large table costs what it touches, and a reader sees the table of one
+version, before and after.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.operators import upsert
-from pagelake.functions.urls import url_fingerprint
 from pagelake.session import cut
 from pagelake.sources import pages as scans
-from pagelake.sources.checkpoint import _exists
+from pagelake.sources.versions import Versions, exists, names_in, remove
 
 RAW_SCHEMA = (
     "id bigint, site_name string, url string, url_hash string, raw_data string, status string,"
@@ -26,108 +26,164 @@ RAW_SCHEMA = (
 )
 CLEANED_SCHEMA = "site_name string, url string, url_hash string, cleaned_at timestamp"
 
-# How many partitions a batch may touch for them to be named one by one in the scan.
-MOST_NAMED_PARTITIONS = 1000
-
 
 class TableStore:
-    """Raw or cleaned records under one path."""
+    """Raw or cleaned records under one path.
+
+    ``groups`` parts by site and ``buckets`` by key make the slots; both are fixed by the first
+    commit. With ``versioned`` the version of every record is kept, and what comes late does not
+    replace what is newer; without it the last batch counts, whatever its versions.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, kind: str = "raw", buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, kind: str = "raw", buckets: int = 64, groups: int = 16, versioned: bool = False):
         if kind not in ("raw", "cleaned"):
             raise ValueError("kind must be raw or cleaned")
-        self.spark, self.path, self.kind, self.buckets = spark, path, kind, buckets
+        self.spark, self.path, self.kind = spark, path, kind
+        self.versions = Versions(spark, path)
+        fixed = self.versions.latest()[1]
+        self.buckets, self.groups = fixed.get("buckets", buckets), fixed.get("groups", groups)
+        self.versioned = fixed.get("versioned", versioned)
+
+    @property
+    def schema(self) -> T.StructType:
+        """Columns of an empty table."""
+        return T.StructType.fromDDL((RAW_SCHEMA if self.kind == "raw" else CLEANED_SCHEMA) + (", _seq bigint" if self.versioned else ""))
 
     @property
     def empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], RAW_SCHEMA if self.kind == "raw" else CLEANED_SCHEMA)
-
-    def _schema(self) -> T.StructType:
-        """Columns of the table. They are kept in one small file beside the data, so that
-        reading does not open the footer of every data file to merge schemas."""
-        if self.kind == "cleaned" and _exists(self.spark, f"{self.path}/_schema"):
-            kept = self.spark.read.option("wholetext", True).text(f"{self.path}/_schema").first()
-            return T.StructType.fromJson(json.loads(kept["value"]))
-        return self.empty.schema
-
-    def _keep_schema(self, rows: DataFrame) -> None:
-        """Note new columns before the data has them: a column without values reads as null."""
-        if self.kind == "cleaned" and rows.schema != self._schema():
-            text = self.spark.range(1).select(F.lit(rows.schema.json()).alias("value"))
-            text.write.mode("overwrite").text(f"{self.path}/_schema")
-
-    def _stored(self) -> DataFrame | None:
-        if not _exists(self.spark, self.path):
-            return None
-        return self.spark.read.schema(self._schema().add("bucket", T.IntegerType())).parquet(self.path)
-
-    def read(self) -> DataFrame:
-        stored = self._stored()
-        return self.empty if stored is None else stored.drop("bucket")
-
-    def _bucket(self):
+        return self.spark.createDataFrame([], self.schema).drop("_seq")
+
+    def _group(self, site: Column) -> Column:
+        return F.pmod(F.xxhash64(site), F.lit(self.groups)).cast("int")
+
+    def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("url_hash"), F.lit(self.buckets)).cast("int")
 
-    def _touched(self, parts: DataFrame, on: list[str]) -> DataFrame:
-        """The stored rows of the partitions a batch has keys in.
+    def _slot(self) -> Column:
+        return self._group(F.col("site_name")) * self.buckets + self._bucket()
 
-        The partitions of a usual batch are few, and named as literals they prune the scan
-        before it starts. A batch that touches more is matched by a join instead.
+    def _rows(self, manifest: dict, slots: set[int] | None = None) -> DataFrame:
+        """The rows of a version, of some slots or all, under its newest schema.
+
+        Files written before a column came or was widened are read as they were written and
+        cast, one scan for every schema that still has files.
         """
-        stored = self._stored()
-        if stored is None:
-            return self.empty
-        parts = parts.select(*on).distinct()
-        named = parts.limit(MOST_NAMED_PARTITIONS + 1).collect()
-        if len(named) > MOST_NAMED_PARTITIONS:
-            return stored.join(parts, on, "left_semi").drop("bucket")
-        by_site: dict[str | None, list[int]] = {}
-        for row in named:
-            by_site.setdefault(row["site_name"] if "site_name" in on else None, []).append(row["bucket"])
-        keep = F.lit(False)
-        for site, buckets in by_site.items():
-            in_bucket = F.col("bucket").isin(buckets)
-            keep = keep | (in_bucket if site is None else in_bucket & (F.col("site_name") == site))
-        return stored.filter(keep).drop("bucket")
-
-    def _replace(self, rows: DataFrame) -> None:
-        """Overwrite exactly the partitions that occur in the rows.
-
-        The new files are written beside the old ones, which go only at the job's commit,
-        so the rows may be read from the table itself. Rebalancing gathers the rows of a
-        partition into few files, yet splits what is large, so a site that holds a third
-        of all rows is written by many tasks.
+        schemas = [T.StructType.fromJson(json.loads(text)) for text in manifest.get("schemas", [])]
+        now = schemas[-1] if schemas else self.schema
+        by_schema: dict[int, list[str]] = {}
+        for slot, (folder, schema) in sorted(manifest.get("slots", {}).items()):
+            if slots is None or int(slot) in slots:
+                by_schema.setdefault(schema, []).append(f"{self.path}/data/{folder}/slot={slot}")
+        out = None
+        for k, paths in sorted(by_schema.items()):
+            part = self.spark.read.schema(schemas[k]).parquet(*paths)
+            had = set(schemas[k].names)
+            part = part.select(*[(F.col(f"`{f.name}`") if f.name in had else F.lit(None)).cast(f.dataType).alias(f.name) for f in now])
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], now) if out is None else out
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table as of its latest version, or of a given one that has not expired."""
+        manifest = self.versions.latest()[1] if version is None else self.versions.read(version)
+        return self._rows(manifest).drop("_seq")
+
+    def version(self) -> int:
+        return self.versions.latest()[0]
+
+    def _next(self, number: int, manifest: dict, rows: DataFrame, touched: set[int]) -> dict:
+        """Write the new rows of some slots and build the manifest that points at them.
+
+        Rebalancing gathers the rows of a slot into few files, yet splits what is large, so a
+        site that holds a third of all rows is written by many tasks.
         """
-        self._keep_schema(rows)
+        folder = f"{number + 1:012d}-{uuid.uuid4().hex[:12]}"
         (
-            rows.withColumn("bucket", self._bucket()).hint("rebalance", "site_name", "bucket")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("site_name", "bucket").parquet(self.path)
+            rows.withColumn("slot", self._slot()).hint("rebalance", "slot").sortWithinPartitions("slot", "site_name", "url_hash")
+            .write.partitionBy("slot").parquet(f"{self.path}/data/{folder}")
         )
-
-    def save(self, batch: DataFrame, version: str, run_ts: str) -> None:
-        """Upsert a batch by (site_name, fingerprint of url)."""
-        stamp = F.lit(run_ts).cast("timestamp")
-        parts = batch.select("site_name", url_fingerprint("url").alias("url_hash")).select(
-            "site_name", self._bucket().alias("bucket")
-        )
-        merge: Callable = upsert.raw_upsert if self.kind == "raw" else upsert.cleaned_upsert
-        self._replace(merge(self._touched(parts, ["site_name", "bucket"]), batch, version, stamp))
+        schemas = list(manifest.get("schemas", []))
+        if not schemas or schemas[-1] != rows.schema.json():
+            schemas.append(rows.schema.json())
+        slots = manifest.get("slots", {}) | {str(s): [folder, len(schemas) - 1] for s in sorted(touched)}
+        fixed = {"buckets": self.buckets, "groups": self.groups, "versioned": self.versioned, "kind": self.kind}
+        return {**manifest, **fixed, "schemas": schemas, "slots": slots}
+
+    def _touched(self, rows: DataFrame) -> set[int]:
+        """Slots that rows fall into: ``groups * buckets`` numbers at most."""
+        return {r["slot"] for r in rows.select(self._slot().alias("slot")).distinct().collect()}
+
+    def load(self, rows: DataFrame) -> int:
+        """Put records with all their columns into the table, in place of the slots they fall into."""
+        rows = rows if not self.versioned or "_seq" in rows.columns else rows.withColumn("_seq", F.lit(None).cast("bigint"))
+        return self.versions.change(lambda n, m: self._next(n, m, rows, self._touched(rows)))
+
+    def save(self, batch: DataFrame, version: str, run_ts: str, source: str | None = None, batch_id: int | None = None) -> int:
+        """Upsert a batch by (site_name, fingerprint of url); returns the table's version.
+
+        The batch is reduced to one row per key and staged, so that it is evaluated once. A
+        batch of a named ``source`` whose ``batch_id`` is not above the last committed one has
+        been applied before and changes nothing.
+        """
+        seen = source is not None and batch_id is not None
+        if seen and batch_id <= self.versions.latest()[1].get("sources", {}).get(source, -1):
+            return self.version()
+        reduce, merge = (upsert.reduce_raw, upsert.merge_raw) if self.kind == "raw" else (upsert.reduce_cleaned, upsert.merge_cleaned)
+        reduced = reduce(batch, version)
+        place = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        reduced.write.parquet(place)
+        staged = self.spark.read.schema(reduced.schema).parquet(place)
+        touched = self._touched(staged)
+
+        def apply(number: int, manifest: dict) -> dict | None:
+            done = manifest.get("sources", {})
+            if seen and batch_id <= done.get(source, -1):
+                return None
+            if touched:
+                merged = merge(self._rows(manifest, touched), staged, F.lit(run_ts).cast("timestamp"))
+                manifest = self._next(number, manifest, merged, touched)
+            return {**manifest, "sources": {**done, source: batch_id}} if seen else manifest if touched else None
+
+        try:
+            return self.versions.change(apply)
+        finally:
+            remove(self.spark, place)
 
     def set_status(self, updates: DataFrame, version: str, run_ts: str) -> None:
         """Set statuses by url_hash on every site."""
-        if self._stored() is None:
-            return
-        touched = self._touched(updates.select(self._bucket().alias("bucket")), ["bucket"])
-        self._replace(upsert.set_status(touched, updates, version, F.lit(run_ts).cast("timestamp")))
+        buckets = {r["b"] for r in updates.select(self._bucket().alias("b")).distinct().collect()}
+
+        def apply(number: int, manifest: dict) -> dict | None:
+            slots = {int(s) for s in manifest.get("slots", {}) if int(s) % self.buckets in buckets}
+            if not slots:
+                return None
+            return self._next(number, manifest, upsert.set_status(self._rows(manifest, slots), updates, version, F.lit(run_ts).cast("timestamp")), slots)
+
+        self.versions.change(apply)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Drop versions but the last ``keep``, and folders that none of those names.
+
+        Also what writers that died have left; to be run while no one writes.
+        """
+        used = {folder for m in self.versions.expire(keep) for folder, _ in m.get("slots", {}).values()}
+        gone = [name for name, _ in names_in(self.spark, f"{self.path}/data") if name not in used]
+        for name in gone:
+            remove(self.spark, f"{self.path}/data/{name}")
+        remove(self.spark, f"{self.path}/_staging")
+        return len(gone)
+
+    def _of_site(self, site: str) -> DataFrame:
+        """The rows of the slots that a site's rows can be in."""
+        group = self.spark.sql("select 1").select(self._group(F.lit(site))).first()[0]
+        return self._rows(self.versions.latest()[1], set(range(group * self.buckets, (group + 1) * self.buckets))).drop("_seq")
 
     def query(self, site: str, limit: int = 100, offset: int = 0, status: str | None = None,
               newest: str | None = None) -> DataFrame:
         newest = newest or ("updated_at" if self.kind == "raw" else "cleaned_at")
-        return scans.query_site(self.read(), site, limit, offset, status, newest)
+        return scans.query_site(self._of_site(site), site, limit, offset, status, newest)
 
     def count(self, site: str, status: str | None = None) -> int:
-        return scans.count_site(self.read(), site, status).first()["n"]
+        return scans.count_site(self._of_site(site), site, status).first()["n"]
 
     def audit(self) -> DataFrame:
         """Keys that break uniqueness; empty unless something else wrote here."""
@@ -139,7 +195,7 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str) -> int:
     fields = [T.StructField(c, T.StringType()) for c in batch.columns]
     existing = (
         spark.read.option("mergeSchema", True).parquet(path)
-        if _exists(spark, path)
+        if exists(spark, path)
         else spark.createDataFrame([], T.StructType(fields))
     )
     fresh = cut(upsert.idempotent_append(existing, batch))

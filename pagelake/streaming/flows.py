@@ -103,11 +103,11 @@ def stuck_tasks(stream: DataFrame, task: str, event: str, timeout_ms: int) -> Da
 
 
 def upsert_sink(stream: DataFrame, store: TableStore, version: str, run_ts: str, checkpoint: str) -> DataStreamWriter:
-    """Upsert every micro-batch. A batch that is replayed after a failure changes nothing,
-    since an upsert of the same rows gives the same table."""
+    """Upsert every micro-batch. The table's version names the stream's last batch, so one that
+    is replayed after a failure is known and changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.save(batch, version, run_ts)
+        store.save(batch, version, run_ts, source=checkpoint, batch_id=batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -121,7 +121,7 @@ def archive_sink(stream: DataFrame, raw_path: str, store: TableStore, version: s
         batch.withColumns({"site": F.col(site), "dt": F.lit(day)}).write.mode("overwrite").partitionBy(
             "site", "dt"
         ).json(f"{raw_path}/batch={batch_id}")
-        store.save(batch, version, run_ts)
+        store.save(batch, version, run_ts, source=checkpoint, batch_id=batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

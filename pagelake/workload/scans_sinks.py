@@ -273,7 +273,7 @@ def _(t):
 def _(t):
     """The same through a stored table: saved, then changed by a second batch."""
     table = store.TableStore(t.spark, t.scratch("store"), buckets=4)
-    table._replace(customer_records(t))
+    table.load(customer_records(t))
     table.save(order_records(t), "o_orderkey", RUN_TS)
     return _days(table.read())
 

@@ -39,13 +39,14 @@ def test_saving_reads_only_touched_partitions(spark, tmp_path):
         F.lit("x").alias("raw_data"), F.col("id").alias("seq"),
     )
     store.save(rows, "seq", "2024-01-01 00:00:00")
-    touched = store._touched(spark.createDataFrame([("s1", 3)], "site_name string, bucket int"), ["site_name", "bucket"])
-    plan = touched._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "s1" in plan.split("PartitionFilters")[1]
-    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "raw").rglob("*.parquet")}
+    held = store.versions.latest()[1]["slots"]
+    read = store._rows(store.versions.latest()[1], {int(min(held))}).inputFiles()
+    assert read and all(f"/slot={min(held)}/" in f for f in read)
+    before = set((tmp_path / "raw").rglob("*.parquet"))
     store.save(rows.filter("seq = 1"), "seq", "2024-01-02 00:00:00")
-    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "raw").rglob("*.parquet")}
-    assert len(set(before.items()) - set(after.items())) == 1
+    after = set((tmp_path / "raw").rglob("*.parquet"))
+    assert before <= after and len(after - before) == 1
+    assert len(set(map(tuple, store.versions.latest()[1]["slots"].values())) - set(map(tuple, held.values()))) == 1
     assert store.read().count() == 200
 
 

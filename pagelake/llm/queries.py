@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelake.llm import contamination, langid, licenses, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts, whitening
+from pagelake.llm import contamination, langid, licenses, line_runs, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts, whitening
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,31 @@ def op10(table):
     return suffix_dedup.remove_repeats(table("documents")).drop("kept")
 
 
+@query("op11_line_dedup")
+def op11(table):
+    found = line_runs.drop_repeated(table("documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = """
+    with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+    lines as (
+        select r, doc_id, unnest(string_split(text, chr(10))) as line,
+               unnest(range(len(string_split(text, chr(10))))) as pos from docs
+    ), keyed as (
+        select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines
+    ), held as (
+        select k, min(doc_id) as first_doc from keyed where length(k) >= 10 group by k having count(distinct doc_id) >= 2
+    ), marked as (
+        select r, doc_id, line, pos, first_doc is not null and doc_id <> first_doc as gone from keyed left join held using (k)
+    )
+    select doc_id, count(*) as n_lines, count_if(gone)::bigint as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+    from marked group by r, doc_id
+"""
+
+
 @query("op13_whitening")
 def op13(table):
     return whitening.whiten(table("embeddings"))

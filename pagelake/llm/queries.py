@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import contamination, langid, licenses, line_runs, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts, whitening
+from pagelake.llm import contamination, langid, licenses, line_runs, near_vectors, packing, pii, quality, shingle_join, suffix_dedup, token_counts, turns, whitening
 from pagelake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,12 @@ ORACLES["op11_line_dedup"] = """
 """
 
 
+@query("op12_turns")
+def op12(table):
+    rows = table("conversations")
+    return turns.repaired_digests(turns.damage(rows), rows)
+
+
 @query("op13_whitening")
 def op13(table):
     return whitening.whiten(table("embeddings"))

@@ -169,7 +169,7 @@ def retry_plan(tasks: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def task_transitions(tasks: DataFrame, events: DataFrame, width: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def task_transitions(tasks: DataFrame, events: DataFrame, rows: int = ordered.ROWS) -> tuple[DataFrame, DataFrame]:
     """Apply ``events(task_id, event, status, seq)`` to tasks; returns (tasks, refused events).
 
     ``insert`` creates a pending task; ``update`` sets the status; ``cancel`` is refused unless the task is
@@ -194,7 +194,7 @@ def task_transitions(tasks: DataFrame, events: DataFrame, width: int = 1_000_000
     after = joined.filter(known).withColumn("status", status).drop("_set", "_cancel", "_new")
 
     # A cancel is judged by the last status set before it; an accepted cancel stays active.
-    seen = ordered.running(marked, ["task_id"], ["seq"], width, maxima={"_before": F.col("_set")})
+    seen = ordered.running(marked, ["task_id"], ["seq"], rows, maxima={"_before": F.col("_set")})
     start = tasks.select("task_id", F.col("status").alias("_start"))
     at = F.coalesce(F.col("_before")["s"], F.col("_start"))
     refused = (

@@ -1,9 +1,10 @@
 """Order-dependent work that never puts a whole group into one task.
 
-A running value over a long group is computed in blocks: the order column is cut
-into ranges of a given width, each (group, block) is scanned on its own, one summary
-row per block is combined over the group, and the result is added back. Only the
-summaries of a group meet in one task, and there is one per block, not per row.
+A running value over a long group is computed in blocks: a group of more than a given number
+of rows is cut at quantiles of its own order column, so that a block is bounded in rows, however
+densely they lie. Each (group, block) is scanned on its own, one summary row per block is combined
+over the group, and the result is added back. Only the summaries of a group meet in one task,
+and there is one per block, not per row.
 """
 
 from __future__ import annotations
@@ -14,24 +15,26 @@ from pyspark.sql import functions as F
 
 from pagelake.session import cut
 
+#: About how many rows a block has.
+ROWS = 200_000
+
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    width: float,
+    rows: int = ROWS,
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running sums and maxima up to and including each row, per group.
 
-    ``order[0]`` must be a number; ``width`` is the length of a block on it. Blocks are
-    a function of the row alone, so a lost task recomputes exactly the same ones.
+    ``order[0]`` must be a number; ``rows`` is about the size of a block.
     """
     sums, maxima = sums or {}, maxima or {}
     names = {**sums, **maxima}
     total = {n: F.sum if n in sums else F.max for n in names}
-    tagged = blocks(df, keys, order[0], width)
+    tagged = blocks(df, keys, order[0], rows)
     in_block = W.partitionBy("_g", "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = tagged.withColumns({n: total[n](c).over(in_block) for n, c in names.items()})
 
@@ -47,18 +50,36 @@ def running(
     return joined.withColumns(result).drop("_g", "_block", *[f"_{n}" for n in names])
 
 
-def blocks(df: DataFrame, keys: list[str], order: str, width: float) -> DataFrame:
-    """Tag each row with its group ``_g`` (a struct, so a missing key is a key) and ``_block``."""
-    return df.withColumns(
-        {
-            "_g": F.struct(*keys),
-            "_block": F.floor(F.col(order) / F.lit(width)).cast("bigint"),
-        }
-    )
+def blocks(df: DataFrame, keys: list[str], order: str, rows: int = ROWS) -> DataFrame:
+    """Tag each row with its group ``_g`` (a struct, so a missing key is a key) and ``_block``.
+
+    Blocks of a group are numbered from 0 in the order of ``order``. The cuts of the groups that
+    need any are worked out once and written, so a lost task finds the same ones; rows with
+    one value of ``order`` stay together.
+    """
+    tagged = df.withColumn("_g", F.struct(*keys))
+    longest = tagged.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    if longest <= rows:
+        return tagged.withColumn("_block", F.lit(0).cast("bigint"))
+    parts = -(-longest // rows)
+    quantiles = F.percentile_approx(order, [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
+    long = tagged.groupBy("_g").agg(F.count("*").alias("_n"), quantiles.alias("_cuts")).filter(F.col("_n") > rows)
+    cuts = cut(long.select("_g", F.array_distinct("_cuts").alias("_cuts")))
+    return tagged.join(cuts, "_g", "left").withColumn("_block", _cuts_up_to(F.col("_cuts"), F.col(order), parts)).drop("_cuts")
+
+
+def _cuts_up_to(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the sorted cuts are not above a value, by halving; 0 where there are no cuts."""
+    steps = F.array(*[F.lit(1 << k).cast("bigint") for k in range(most.bit_length(), -1, -1)])
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get(cuts, (at + step - 1).cast("int")) <= value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0).cast("bigint"), halve)
 
 
 def paced(
-    df: DataFrame, keys: list[str], at: str, tie: str, interval: int, width: int, name: str = "slot"
+    df: DataFrame, keys: list[str], at: str, tie: str, interval: int, rows: int = ROWS, name: str = "slot"
 ) -> DataFrame:
     """``slot = max(at, previous slot + interval)`` per group, in the same whole unit as ``at``.
 
@@ -66,7 +87,7 @@ def paced(
     ``r*interval + max(at_j - r_j*interval)`` over the rows j up to this one.
     """
     step = F.lit(interval).cast("bigint")
-    tagged = blocks(df, keys, at, width)
+    tagged = blocks(df, keys, at, rows)
     in_block = W.partitionBy("_g", "_block").orderBy(at, tie)
     local = tagged.withColumn("_r", F.row_number().over(in_block).cast("bigint"))
     local = local.withColumn(

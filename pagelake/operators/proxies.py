@@ -13,7 +13,7 @@ MAX_FAIL = 3
 PROXY_HEADERS = ("Via", "X-Forwarded-For", "X-Proxy-ID", "Forwarded")
 
 
-def evicted(checks: DataFrame, width: float, proxy: str = "proxy", at: str = "t", tie: str = "id",
+def evicted(checks: DataFrame, rows: int = ordered.ROWS, proxy: str = "proxy", at: str = "t", tie: str = "id",
             ok: str = "ok", max_fail: int = MAX_FAIL) -> DataFrame:
     """``(proxy, evicted_at)``: when a proxy first failed ``max_fail`` times in a row.
 
@@ -21,7 +21,7 @@ def evicted(checks: DataFrame, width: float, proxy: str = "proxy", at: str = "t"
     ``max_fail`` failures go on, so a proxy that fails all day costs no more than others.
     """
     runs = ordered.running(
-        checks, [proxy], [at, tie], width, sums={"_run": F.when(F.col(ok), 1).otherwise(0)}
+        checks, [proxy], [at, tie], rows, sums={"_run": F.when(F.col(ok), 1).otherwise(0)}
     )
     fails = first_per_key(runs.filter(~F.col(ok)).select(proxy, "_run", at, tie), [proxy, "_run"], [at, tie], max_fail)
     return (

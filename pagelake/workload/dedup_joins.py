@@ -438,7 +438,7 @@ def _(t):
 )
 def _(t):
     rows = t.events.select("event_id", "event_type", epoch_micros("ts").alias("t"))
-    return ordered.paced(rows, ["event_type"], "t", "event_id", 1_200_000_000, 6 * HOUR).select("event_id", "slot")
+    return ordered.paced(rows, ["event_type"], "t", "event_id", 1_200_000_000).select("event_id", "slot")
 
 
 @query(
@@ -483,7 +483,7 @@ def _(t):
         F.col("user_id").alias("proxy"), epoch_micros("ts").alias("t"), F.col("event_id").alias("id"),
         (~F.col("event_type").isin("error", "click")).alias("ok"),
     )
-    return proxies.evicted(checks, width=2 * DAY)
+    return proxies.evicted(checks)
 
 
 @query(

@@ -381,7 +381,7 @@ def _users(t):
     """,
 )
 def _(t):
-    after, _refused = ledger.task_transitions(_users(t), _task_events(t), width=1000)
+    after, _refused = ledger.task_transitions(_users(t), _task_events(t), rows=1000)
     return after.select("task_id", "status")
 
 
@@ -394,7 +394,7 @@ def _(t):
     """,
 )
 def _(t):
-    _after, refused = ledger.task_transitions(_users(t), _task_events(t), width=1000)
+    _after, refused = ledger.task_transitions(_users(t), _task_events(t), rows=1000)
     return refused
 
 

@@ -11,8 +11,6 @@ interval has moments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -133,13 +131,3 @@ def throttle(
 
 def _up(functions: DataFrame, fan: int) -> DataFrame:
     return functions.withColumn("up", F.floor(F.col("b") / fan).cast("bigint"))
-
-
-def throttle_in_order(times: Iterator[int], last: int | None, interval: int) -> tuple[list[int], int | None]:
-    """Indexes that pass in one ordered run of times, and the last emission (streaming form)."""
-    passed = []
-    for i, t in enumerate(times):
-        if last is None or t - last >= interval:
-            passed.append(i)
-            last = t
-    return passed, last

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelake.functions.urls import url_fingerprint
 from pagelake.operators.metrics import LATENCY_BUCKETS
 from pagelake.operators.rules import clean_site
-from pagelake.operators.throttle import throttle_in_order
 from pagelake.sources.files import write_raw_jsonl
 from pagelake.sources.store import TableStore
+from pagelake.streaming import processors
 
 SCRAPE_WINDOW = "15 seconds"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Spark unpickles a processor on the driver too, in a Python process that has none of the shipped files.
+cloudpickle.register_pickle_by_value(processors)
 
 
 def clean(stream: DataFrame, site_rules: Mapping[str, Iterable[Mapping[str, Any]]], site: str = "site") -> DataFrame:
@@ -52,29 +54,36 @@ def windowed_metrics(stream: DataFrame, at: str, site: str, ok: Column, latency:
     )
 
 
-def throttle(stream: DataFrame, key: str, at: str, event_id: str, interval: int) -> DataFrame:
+def stateful(spark: SparkSession) -> None:
+    """Let the session keep state in RocksDB, which the operators with timers need; a no-op where it does."""
+    if not spark.conf.get(STATE_STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def throttle(stream: DataFrame, key: str, at: str, event_id: str, interval: int,
+             time: str | None = None, delay: str = "1 minute", idle_ms: int | None = None) -> DataFrame:
     """Emit an alert if the last emitted one of its key is ``interval`` old; blank keys always pass.
 
-    ``at`` is a whole number in the unit of ``interval``. The state of a key is one number.
-    Alerts of a key must arrive in order between micro-batches; within one they are sorted.
+    ``at`` is a whole number in the unit of ``interval``. Alerts of a key must arrive in order
+    between micro-batches; within one they are sorted. The state of a key is one number. With
+    ``time``, the timestamp that ``at`` gives in microseconds, the watermark drops it as soon as
+    no alert can be held back by it (and alerts later than ``delay`` are left out). Without, it stays, or goes when
+    the key has been silent for ``idle_ms`` of processing time; such a query never runs out of batches, so it is
+    not for a trigger that stops when all is read.
     """
     lone = F.coalesce(F.trim(key), F.lit("")) == ""
     # Blank keys get a group of their own each, so they are never held back and never pile up.
-    keyed = stream.select(
-        F.when(lone, F.concat(F.lit("\u0000"), F.col(event_id).cast("string"))).otherwise(F.col(key)).alias("k"),
+    columns = [
+        F.when(lone, F.concat(F.lit(processors.LONE), F.col(event_id).cast("string"))).otherwise(F.col(key)).alias("k"),
         F.col(at).cast("bigint").alias("t"), F.col(event_id).cast("bigint").alias("id"),
-    )
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["t", "id"])
-        last = state.get[0] if state.exists else None
-        passed, last = throttle_in_order(pdf["t"].tolist(), last, interval)
-        if not key[0].startswith("\u0000"):
-            state.update((last,))
-        yield pdf.iloc[passed][["k", "t", "id"]]
-
-    return keyed.groupBy("k").applyInPandasWithState(
-        step, "k string, t bigint, id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+    ]
+    stateful(stream.sparkSession)
+    if time is None:
+        keyed, mode = stream.select(*columns), "None" if idle_ms is None else "ProcessingTime"
+    else:
+        keyed, mode = stream.select(*columns, F.col(time).alias("_time")).withWatermark("_time", delay), "EventTime"
+    return keyed.groupBy("k").transformWithStateInPandas(
+        processors.Throttle(interval, time is not None, idle_ms), "k string, t bigint, id bigint", "Append", mode
     )
 
 
@@ -83,23 +92,24 @@ def stuck_tasks(stream: DataFrame, task: str, event: str, timeout_ms: int) -> Da
 
     ``event`` is ``pop``, ``complete`` or ``fail``. Emits each stuck task once.
     """
-    keyed = stream.select(F.col(task).alias("task"), F.col(event).alias("event"), F.col("seq").cast("bigint").alias("seq"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"task": [key[0]]})
-            return
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        if pdf["event"].iloc[-1] == "pop":
-            state.update((int(pdf["seq"].iloc[-1]),))
-            state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
-
-    return keyed.groupBy("task").applyInPandasWithState(
-        step, "task string", "seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    stateful(stream.sparkSession)
+    keyed = stream.select(F.col(task).alias("task"), (F.col(event) == "pop").alias("is_pop"), F.col("seq").cast("bigint").alias("at"))
+    out = keyed.groupBy("task").transformWithStateInPandas(processors.Stuck(timeout_ms, False), "task string, at bigint", "Append", "ProcessingTime")
+    return out.select("task")
+
+
+def stuck_since(stream: DataFrame, task: str, event: str, at: str, timeout_ms: int, delay: str = "1 minute") -> DataFrame:
+    """``(task, popped_at)`` of the pops after which the task did nothing for the timeout, by event time.
+
+    A pop is reported by the next event of its task if that comes too late, else as soon as the watermark
+    says that none can come in time; its state is gone then.
+    """
+    stateful(stream.sparkSession)
+    keyed = stream.select(
+        F.col(task).cast("string").alias("task"), (F.col(event) == "pop").alias("is_pop"), F.unix_millis(at).alias("at"), F.col(at).alias("_time")
+    ).withWatermark("_time", delay)
+    out = keyed.groupBy("task").transformWithStateInPandas(processors.Stuck(timeout_ms, True), "task string, at bigint", "Append", "EventTime")
+    return out.select("task", F.timestamp_millis("at").alias("popped_at"))
 
 
 def upsert_sink(stream: DataFrame, store: TableStore, version: str, run_ts: str, checkpoint: str) -> DataStreamWriter:
@@ -160,5 +170,5 @@ def drain_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 Transform = Callable[[DataFrame], DataFrame]
 __all__ = [
     "archive_sink", "clean", "dedup", "drain", "drain_to_files", "drain_to_table", "log_sink",
-    "stuck_tasks", "throttle", "upsert_sink", "windowed_metrics", "write_raw_jsonl",
+    "stuck_since", "stuck_tasks", "throttle", "upsert_sink", "windowed_metrics", "write_raw_jsonl",
 ]

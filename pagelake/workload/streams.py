@@ -94,6 +94,28 @@ def _(t):
     return _landed(t, out).select(F.col("id").alias("event_id"))
 
 
+@query(
+    "stream_stuck",
+    """
+    with steps as (
+        select user_id, event_type in ('view', 'click') as is_pop, epoch_us(ts) // 1000 as t from events
+    ), followed as (
+        select *, lead(t) over (partition by user_id order by t, is_pop) as next from steps
+    )
+    select user_id::varchar as task, t as popped_ms from followed
+    where is_pop and coalesce(next - t >= 43200000, t + 43200000 <= (select max(t) - 60000 from steps))
+    """,
+)
+def _(t):
+    """Views and clicks after which a user did nothing for twelve hours, as far as the stream can tell at its end."""
+    rows = _stream(t, "events").select(
+        "user_id", F.when(F.col("event_type").isin("view", "click"), "pop").otherwise("complete").alias("event"),
+        F.timestamp_micros(epoch_micros("ts")).alias("at"),
+    )
+    out = _landed(t, flows.stuck_since(rows, "user_id", "event", "at", 43_200_000))
+    return out.select("task", F.unix_millis("popped_at").alias("popped_ms"))
+
+
 @query(
     "stream_upsert",
     """

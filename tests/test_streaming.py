@@ -102,3 +102,49 @@ def test_stuck_timer(spark, tmp_path):
         assert [r["task"] for r in spark.table("stuck").collect()] == ["a"]
     finally:
         query.stop()
+
+
+def test_throttle_state_goes_with_the_watermark(spark, tmp_path):
+    folder, schema = tmp_path / "in", "k string, at timestamp, id bigint"
+    day = 86_400
+    rows = [(f"k{i}", (i + 1) * day, i) for i in range(40)] + [("hot", day + i * day // 4, 100 + i) for i in range(160)]
+
+    def land(part):
+        spark.createDataFrame(part, "k string, s long, id long").select("k", F.timestamp_seconds("s").alias("at"), "id").coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        stream = stream_files(spark, str(folder), schema).withColumn("t", F.unix_micros("at"))
+        out = flows.throttle(stream, "k", "t", "id", day * 1_000_000, time="at", delay="1 hour")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    rows.sort(key=lambda r: r[1])
+    land(rows[:100])
+    run()
+    land(rows[100:])
+    kept = run()  # a restart goes on from the stored state
+    want, last = set(), {}
+    for k, s, i in rows:
+        if k not in last or s - last[k] >= day:
+            want.add(i)
+            last[k] = s
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert kept[-1] < 12  # of 41 keys only those of the last day are held, with their timers
+
+
+def test_stuck_since_is_the_same_over_two_batches(spark, tmp_path):
+    folder, schema = tmp_path / "in", "task string, event string, at timestamp"
+
+    def land(*rows):
+        spark.createDataFrame(rows, "task string, event string, s long").select("task", "event", F.timestamp_seconds(F.col("s") + 1000).alias("at")).coalesce(1).write.mode("append").json(str(folder))
+
+    def run():
+        stream = stream_files(spark, str(folder), schema, "json")
+        out = flows.drain_to_files(flows.stuck_since(stream, "task", "event", "at", 100_000), str(tmp_path / "out"), str(tmp_path / "ck"))
+        return sorted((r["task"], int(r["popped_at"].timestamp()) - 1000) for r in out.collect())
+
+    land(("a", "pop", 0), ("b", "pop", 10), ("c", "pop", 20), ("c", "complete", 119), ("d", "pop", 30), ("d", "complete", 130), ("e", "pop", 150))
+    assert run() == [("d", 30)]  # the watermark stands at 90
+    land(("b", "fail", 100), ("e", "complete", 249), ("f", "pop", 500))
+    assert run() == [("a", 0), ("d", 30)]

@@ -8,6 +8,7 @@ from pagelake.functions.hashing import bloom_positions, bloom_shape
 from pagelake.operators import bloom, dedup, enrich, ordered, paging, proxies
 from pagelake.operators.throttle import throttle
 from pagelake.session import epoch_micros
+from pagelake.sources.seen import SeenUrls
 from pagelake.workload.registry import query
 
 HOUR = 3_600_000_000
@@ -77,22 +78,35 @@ def _(t):
     return out.withColumn("url", F.replace(F.col("url"), F.lit("HTTPS://Chat.Test"), F.lit("https://chat.test")))
 
 
-@query(
-    "admit_new",
-    """
+_ADMIT_SQL = """
+
     select doc_id, url, md5(url) as url_hash from (
         select doc_id, url, row_number() over (partition by url order by doc_id) as rn
         from (select doc_id, 'https://docs.test/' || source || '/' || n_chars as url from documents)
     ) where rn = 1 and url not in (
         select 'https://docs.test/' || source || '/' || n_chars from documents join labels using (doc_id)
     )
-    """,
-)
-def _(t):
+"""
+
+
+def _admission(t):
     url = F.concat(F.lit("https://docs.test/"), "source", F.lit("/"), "n_chars")
-    batch = t.documents.select("doc_id", url.alias("url"))
-    seen = t.documents.join(t.labels, "doc_id").select(F.md5(url).alias("url_hash"))
-    return dedup.admit_new(batch, seen, "url", ["doc_id"])
+    return t.documents.select("doc_id", url.alias("url")), t.documents.join(t.labels, "doc_id").select("doc_id", url.alias("url"))
+
+
+@query("admit_new", _ADMIT_SQL)
+def _(t):
+    batch, seen = _admission(t)
+    return dedup.admit_new(batch, seen.select(F.md5("url").alias("url_hash")), "url", ["doc_id"])
+
+
+@query("admit_stored", _ADMIT_SQL)
+def _(t):
+    """The same through a stored history with bloom filters in front of it."""
+    batch, seen = _admission(t)
+    store = SeenUrls(t.spark, t.scratch("seen"), slots=8)
+    store.admit(seen, "url", ["doc_id"])
+    return store.admit(batch, "url", ["doc_id"])
 
 
 @query(

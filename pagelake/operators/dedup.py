@@ -38,11 +38,14 @@ def latest_wins(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame
 def dedup_safe(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Keep the first row per trimmed key; rows with a blank key are all kept.
 
-    Blank rows are kept beside the grouping, whatever their order columns hold.
+    A blank row has a number of its own beside the key, so it is the first of its group whatever
+    its order columns hold, and the input is read once.
     """
     blank = tx.is_blank(F.col(f"`{key}`"))
-    keyed = df.filter(~blank).withColumn("_key", tx.strip(F.col(f"`{key}`").cast("string")))
-    return first_per_key(keyed, ["_key"], order).drop("_key").unionByName(df.filter(blank))
+    keyed = df.withColumns(
+        {"_key": F.when(~blank, tx.strip(F.col(f"`{key}`").cast("string"))), "_lone": F.when(blank, F.monotonically_increasing_id())}
+    )
+    return first_per_key(keyed, ["_key", "_lone"], order).drop("_key", "_lone")
 
 
 def dedup_report(df: DataFrame, key: str) -> DataFrame:

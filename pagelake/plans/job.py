@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.functions import jsonpath, urls
+from pagelake.functions.hashing import contract_signature
 from pagelake.operators import dedup, enrich, extract, jsonitems, paging, profile, robots, rules
 from pagelake.plans.config import JobConfig
 from pagelake.session import cut, ship
+from pagelake.sources import checkpoint as checkpoints
 from pagelake.sources.store import append_new
 
 ORDER = ["page_no", "item_idx"]
+# What a next button is where the job does not say, and the fields that tell pages apart.
+NEXT_SELECTOR = "li.ant-pagination-next"
+FIRST_ITEM = ("排名", "标题")
 ITEMS = "array<map<string,string>>"
 
 
@@ -38,11 +44,17 @@ def page_items(pages: DataFrame, cfg: JobConfig) -> DataFrame:
 
 
 def captured_items(responses: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Items of captured responses ``(page_no, url, body)``."""
-    parsed = responses.withColumn("_v", F.try_parse_json("body"))
-    return jsonitems.json_records(
-        parsed, "_v", cfg.api.get("fields") or {}, cfg.api.get("item_path", ""), ["page_no", "url"], objects_only=True
+    """Items of captured responses ``(page_no, url, body)``, numbered over all responses of a page.
+
+    Responses count in the order of a column ``seq``, if there is one, then of their URLs and bodies.
+    """
+    order = [c for c in ("seq",) if c in responses.columns] + ["url", "body"]
+    marked = responses.select("page_no", "url", F.struct(*order).alias("_at"), F.try_parse_json("body").alias("_v"))
+    rows = jsonitems.json_records(
+        marked, "_v", cfg.api.get("fields") or {}, cfg.api.get("item_path", ""), ["page_no", "url", "_at"], objects_only=True
     )
+    place = F.row_number().over(W.partitionBy("page_no").orderBy("_at", "item_idx")) - 1
+    return rows.withColumn("item_idx", place.cast(rows.schema["item_idx"].dataType)).drop("_at")
 
 
 def _checkpointed(items: DataFrame, checkpoint: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,8 +92,11 @@ def run_job(
     ``details(url, html)`` are the pages that rows link to, ``responses`` captured JSON,
     ``checkpoint(page_no, items)`` the pages done before. The order of steps is fixed:
     pages, stop, details, postprocess, dedup. Pages already done and pages robots rules
-    forbid are dropped before extraction. Where a step needs the items twice (a serial
-    stop, a detail limit) they are read once into a reliable checkpoint; otherwise
+    forbid are dropped before extraction. What pages count follows from ``pagination.type``:
+    ``url_pattern`` takes the planned numbers, ``next_button`` follows next links from
+    ``first_url`` and numbers pages as it meets them, ``infinite_scroll`` takes pages as snapshots
+    and keeps what each adds, ``none`` takes all pages given. Where a step needs the items twice (a
+    walk, a serial stop, a detail limit) they are read once into a reliable checkpoint; otherwise
     nothing runs until the result is used.
     """
     ship(pages.sparkSession)
@@ -96,6 +111,10 @@ def run_job(
     todo = pages.join(checkpoint.select("page_no").distinct(), "page_no", "left_anti") if resuming else pages
 
     items = page_items(todo, cfg)
+    if plan["type"] == "next_button":
+        items = _walked(todo, cut(items), cfg)
+    elif plan["type"] == "infinite_scroll":
+        items = _scrolled(cut(items), plan["max_scrolls"])
     if responses is not None and cfg.api.get("fields"):
         items = jsonitems.prefer_api(captured_items(responses, cfg), items, "page_no")
     columns = [c for c in items.columns if c not in (*ORDER, "url")]
@@ -117,6 +136,45 @@ def run_job(
     return items
 
 
+def _first_item(items: DataFrame) -> Column:
+    """What tells a page from the one before: the title-like field of its first item, else its first field."""
+    columns = [c for c in items.columns if c not in (*ORDER, "url")]
+    named = [c for c in FIRST_ITEM if c in columns] or columns[:1]
+    return F.col(f"`{named[0]}`").cast("string") if named else F.lit(None).cast("string")
+
+
+def _walked(pages: DataFrame, items: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Items of the pages that next links lead to from ``first_url``; the page number is the place in the walk."""
+    plan = cfg.pagination
+    button = plan.get("next_selector") or NEXT_SELECTOR
+    inside = ", ".join(f"{part.strip()} a" for part in button.split(","))
+    links = extract.extract_boxes(
+        pages, extract.PAGE,
+        {
+            "_own": extract.Field(button, "attr", "href"), "_inside": extract.Field(inside, "attr", "href"),
+            "_class": extract.Field(button, "attr", "class"), "_aria": extract.Field(button, "attr", "aria-disabled"),
+        },
+        ["url"],
+    )
+    href = F.coalesce(F.nullif("_own", F.lit("")), F.nullif("_inside", F.lit("")))
+    marks = F.lower(F.concat_ws(" ", "_class", "_aria"))
+    firsts = items.groupBy("url").agg(F.min_by(_first_item(items), F.struct(*ORDER)).alias("first_item"))
+    shown = links.select(
+        "url", urls.resolve_link("url", href).alias("next_url"), marks.contains(plan.get("disabled_marker") or "disabled").alias("disabled")
+    ).join(firsts, "url", "left")
+    seeds = pages.sparkSession.createDataFrame([(cfg.first_url,)], "url string")
+    walk = paging.next_walk(shown, seeds, plan["max_pages"]).select("url", F.col("pos").cast(items.schema["page_no"].dataType).alias("_pos"))
+    return items.join(walk, "url").withColumn("page_no", F.col("_pos")).select(*items.columns)
+
+
+def _scrolled(items: DataFrame, max_scrolls: int) -> DataFrame:
+    """Items at their first appearance over the snapshots, until three snapshots in a row add nothing."""
+    columns = [c for c in items.columns if c not in (*ORDER, "url")]
+    marked = items.select(F.lit(1).alias("_job"), *ORDER, dedup.item_fingerprint(columns).alias("_fp"))
+    new = paging.scroll_accumulate(marked, "_job", "page_no", "item_idx", "_fp", max_scrolls)
+    return items.join(new.select(*ORDER), ORDER, "left_semi")
+
+
 def _before_stop(pages: DataFrame, items: DataFrame, start: int, max_pages: int) -> DataFrame:
     """Items before the first page number of the plan that has none."""
     spark = items.sparkSession
@@ -145,6 +203,30 @@ def _with_details(items: DataFrame, details: DataFrame, cfg: JobConfig, robots_r
     )
 
 
+def complete_job(pages: DataFrame, config: Mapping[str, Any], root: str, **inputs: Any) -> int:
+    """Run a job, keep its pages in a checkpoint, append its rows to its table; returns how many were new.
+
+    The checkpoint below ``root`` belongs to the job's contract. With ``resume`` its pages are not
+    read again; it is dropped once the rows are stored, so that what failed before goes on and what succeeded
+    starts afresh.
+    """
+    spark, cfg = pages.sparkSession, JobConfig.of(config)
+    place, sig = f"{root}/checkpoints", contract_signature(config, config.get("_checkpoint_scope"))
+    done = checkpoints.load(spark, place, sig) if cfg.resume else None
+    todo = pages if done is None else pages.join(done.select("page_no"), "page_no", "left_anti")
+    if cfg.pagination["type"] in ("url_pattern", "none"):
+        read = page_items(todo, cfg)
+        names = [c for c in read.columns if c not in (*ORDER, "url")]
+        entry = F.array(*[F.struct(F.lit(c).alias("k"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")) for c in names])
+        in_order = F.array_sort(F.collect_list(F.struct("item_idx", entry.alias("m"))))
+        checkpoints.save(read.groupBy("page_no").agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("items")), place, sig)
+        inputs["checkpoint"] = checkpoints.load(spark, place, sig)
+        config = {**config, "resume": True}
+    n = store_result(run_job(pages, config, **inputs), cfg, f"{root}/items")
+    checkpoints.clear(spark, place, sig)
+    return n
+
+
 def store_result(items: DataFrame, cfg: JobConfig, path: str) -> int:
     """Append the rows a table does not have yet; returns how many."""
     return append_new(items.sparkSession, items.drop(*ORDER, "url"), path)

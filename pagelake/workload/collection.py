@@ -451,3 +451,99 @@ def _(t):
         "dedup": {"key": "href"}, "concurrency": 8,
     }
     return run_job(t.pages.withColumnRenamed("page_id", "page_no"), config)
+
+
+def _nav_job(**more):
+    return {"name": "links", "first_url": "https://example.com/", "item_selector": "nav li", "fields": NAV_FIELDS, "concurrency": 8, **more}
+
+
+@query(
+    "run_job_next",
+    f"""
+    with items as (select page_id - (select min(page_id) from pages) + 1 as page_no, item_idx, label, href from ({NAV_SQL})),
+    firsts as (select page_no, label from items where item_idx = 0),
+    ends as (
+        select min(a.page_no) as last from firsts a left join firsts b on b.page_no = a.page_no + 1
+        where coalesce(b.label, '') = '' or b.label = a.label
+    )
+    select page_no, item_idx::int as item_idx, label as "标题", href from items, ends where page_no <= least(last, 10000)
+    """,
+)
+def _(t):
+    """Every page links to the one after it; the walk ends where the first item does not change."""
+    first = t.pages.agg(F.min("page_id").alias("first"))
+    place = F.col("page_id") - F.col("first")
+    button = F.concat(F.lit('<a class="next" href="/'), place + 1, F.lit('">next</a>'))
+    pages = t.pages.crossJoin(F.broadcast(first)).select(
+        F.col("page_id").alias("page_no"), F.concat(F.lit("https://p.test/"), place).alias("url"), F.concat(button, "html").alias("html")
+    )
+    config = _nav_job(
+        render="playwright", first_url="https://p.test/0", fields={"标题": "a::text", "href": "a::attr(href)"},
+        pagination={"type": "next_button", "next_selector": "a.next", "max_pages": 10_000},
+    )
+    return run_job(pages, config).drop("url")
+
+
+@query(
+    "run_job_scroll",
+    f"""
+    with items as (
+        select page_id - (select min(page_id) from pages) + 1 as page_no, item_idx, label, href,
+               least(label, href) || chr(1) || greatest(label, href) as fp from ({NAV_SQL})
+    ), new as (
+        select * from items where page_no <= 10000 qualify row_number() over (partition by fp order by page_no, item_idx) = 1
+    ), gaps as (select page_no, page_no - lag(page_no, 1, 0) over (order by page_no) as gap from (select distinct page_no from new)),
+    ends as (select coalesce(min(page_no) filter (gap > 3), 1000000) as stop from gaps)
+    select page_no, item_idx::int as item_idx, label, href from new, ends where page_no < stop
+    """,
+)
+def _(t):
+    """Pages as what is seen after each scroll."""
+    first = t.pages.agg(F.min("page_id").alias("first"))
+    pages = t.pages.crossJoin(F.broadcast(first)).select((F.col("page_id") - F.col("first") + 1).alias("page_no"), "url", "html")
+    return run_job(pages, _nav_job(render="playwright", pagination={"type": "infinite_scroll", "max_scrolls": 10_000})).drop("url")
+
+
+@query(
+    "run_job_serial",
+    f"""
+    with ends as (select coalesce(min(page_id), 1000000000) as stop from pages where url like '%utm_source%')
+    select page_id + 1 as page_no, item_idx::int as item_idx, label, href from ({NAV_SQL}), ends where page_id < stop and page_id between 0 and 9999
+    """,
+)
+def _(t):
+    """One page after the other: the first without items, here one with a tracking mark, ends the job."""
+    html = F.when(F.col("url").contains("utm_source"), "").otherwise(F.col("html"))
+    pages = t.pages.select((F.col("page_id") + 1).alias("page_no"), "url", html.alias("html"))
+    plan = {"type": "url_pattern", "url_pattern": "https://example.com/{page}", "start_page": 1, "max_pages": 10_000}
+    return run_job(pages, _nav_job(pagination=plan, concurrency=1)).drop("url")
+
+
+@query(
+    "run_job_resume",
+    f"""
+    select page_id as page_no, item_idx::int as item_idx, label, href from ({NAV_SQL}) where url not like '%page=2%'
+    union all select page_id, 0, 'kept', url from pages where url like '%page=2%'
+    """,
+)
+def _(t):
+    """Pages that a checkpoint holds are taken from there."""
+    kept = F.array(F.create_map(F.lit("label"), F.lit("kept"), F.lit("href"), F.col("url")))
+    done = t.pages.filter(F.col("url").contains("page=2")).select(F.col("page_id").alias("page_no"), kept.alias("items"))
+    return run_job(t.pages.withColumnRenamed("page_id", "page_no"), _nav_job(resume=True), checkpoint=done).drop("url")
+
+
+@query(
+    "run_job_captured",
+    f"""
+    select page_id as page_no, item_idx::int as item_idx, label, href from ({NAV_SQL}) where url not like '%page=2%'
+    union all select page_id, i, 'r' || i, url from pages, (select unnest([0, 1, 2, 3])::int as i) where url like '%page=2%'
+    """,
+)
+def _(t):
+    """Pages with two captured responses of two items each: positions go on over the responses of a page."""
+    item = lambda i: F.struct(F.lit(f"r{i}").alias("label"), F.col("url").alias("href"))
+    both = F.array(*[F.struct(F.lit(k).alias("seq"), F.to_json(F.array(item(2 * k), item(2 * k + 1))).alias("body")) for k in (0, 1)])
+    captured = t.pages.filter(F.col("url").contains("page=2")).select(F.col("page_id").alias("page_no"), "url", F.inline(both))
+    config = _nav_job(api={"fields": {"label": "label", "href": "href"}})
+    return run_job(t.pages.withColumnRenamed("page_id", "page_no"), config, responses=captured).drop("url")

@@ -9,7 +9,7 @@ from pagelake.operators import bloom, dedup, enrich, ordered, paging, proxies
 from pagelake.operators.throttle import throttle
 from pagelake.session import epoch_micros
 from pagelake.sources.seen import SeenUrls
-from pagelake.workload.registry import query
+from pagelake.workload.registry import ORACLES, QUERIES, query
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -131,9 +131,6 @@ def _(t):
 
 # --- bloom --------------------------------------------------------------------------------
 
-BITS, HASHES = bloom_shape(10_000, 0.001)
-
-
 def _mod_sql(digest: str, words: int, bits: int | str) -> str:
     """A hex digest modulo ``bits`` as nested integer arithmetic."""
     out = "0::hugeint"
@@ -142,7 +139,7 @@ def _mod_sql(digest: str, words: int, bits: int | str) -> str:
     return out
 
 
-def _positions_sql(items: str, bits: int = BITS, hashes: int = HASHES) -> str:
+def _positions_sql(items: str, bits: int, hashes: int) -> str:
     return f"""
         select item, ((a + i * b) % {bits})::bigint as pos from (
             select item, ({_mod_sql('md5(item)', 4, bits)}) as a, ({_mod_sql('sha1(item)', 5, bits)}) as b,
@@ -175,47 +172,8 @@ def _doc_items(df):
     return df.select(F.concat(F.lit("https://docs.test/"), "source", F.lit("/"), "n_chars").alias("item"))
 
 
-@query(
-    "bloom_build",
-    f"""
-    select pos // 64 as word, count(distinct pos)::int as set_bits, sum(distinct (pos % 64))::bigint as places
-    from ({_positions_sql(f"select distinct {_DOC_URL_SQL} as item from documents")}) group by 1
-    """,
-)
-def _(t):
-    words = bloom.build(_doc_items(t.documents), "item", BITS, HASHES)
-    set_places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
-    return words.select(
-        "word", F.bit_count("bits").alias("set_bits"),
-        F.aggregate(set_places, F.lit(0).cast("bigint"), lambda acc, i: acc + i).alias("places"),
-    )
-
-
-@query(
-    "bloom_contains",
-    f"""
-    with known as ({_positions_sql(f"select distinct {_DOC_URL_SQL} as item from documents join labels using (doc_id)")}),
-    asked as ({_positions_sql(f"select distinct {_DOC_URL_SQL} as item from documents")})
-    select item, bool_and(pos in (select pos from known)) as maybe from asked group by item
-    """,
-)
-def _(t):
-    words = bloom.build(_doc_items(t.documents.join(t.labels, "doc_id")), "item", BITS, HASHES)
-    return bloom.contains(_doc_items(t.documents), "item", words, BITS, HASHES)
-
-
-@query(
-    "bloom_count",
-    f"""
-    select count(distinct pos)::bigint as set_bits, floor(-({BITS}::double / {HASHES}) * ln(1 - count(distinct pos) / {BITS}::double)) as estimate
-    from ({_positions_sql(f"select distinct {_DOC_URL_SQL} as item from documents")})
-    """,
-)
-def _(t):
-    return bloom.count(bloom.build(_doc_items(t.documents), "item", BITS, HASHES), BITS, HASHES)
-
-
-# The three above have one shape whatever the table; these have that of the items they hold.
+# The filters have the shape of the items they hold, counted first. Each query has its former name and that of
+# the time when there was a second form of a fixed shape.
 
 
 def _sized_sql(items: str, known: str) -> str:
@@ -237,7 +195,7 @@ _KNOWN_ITEMS_SQL = f"select distinct {_DOC_URL_SQL} as item from documents join
 
 
 @query(
-    "bloom_build_sized",
+    "bloom_build",
     f"""
     select pos // 64 as word, count(distinct pos)::int as set_bits, sum(distinct (pos % 64))::bigint as places
     from ({_sized_sql(_DOC_ITEMS_SQL, _DOC_ITEMS_SQL)}) group by 1
@@ -254,7 +212,7 @@ def _(t):
 
 
 @query(
-    "bloom_contains_sized",
+    "bloom_contains",
     f"""
     with known as ({_sized_sql(_KNOWN_ITEMS_SQL, _KNOWN_ITEMS_SQL)}), asked as ({_sized_sql(_DOC_ITEMS_SQL, _KNOWN_ITEMS_SQL)})
     select item, bool_and(pos in (select pos from known)) as maybe from asked group by item
@@ -267,7 +225,7 @@ def _(t):
 
 
 @query(
-    "bloom_count_sized",
+    "bloom_count",
     f"""
     select count(distinct pos)::bigint as set_bits,
            floor(-(any_value(bits)::double / any_value(hashes)) * ln(1 - count(distinct pos) / any_value(bits)::double)) as estimate
@@ -280,6 +238,10 @@ def _(t):
     return bloom.count(bloom.build(items, "item", *shape), *shape)
 
 
+for _name in ("bloom_build", "bloom_contains", "bloom_count"):
+    QUERIES[f"{_name}_sized"], ORACLES[f"{_name}_sized"] = QUERIES[_name], ORACLES[_name]
+
+
 # --- enrichment ---------------------------------------------------------------------------
 
 

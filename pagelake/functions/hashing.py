@@ -91,3 +91,13 @@ def row_fingerprint(columns: list[str]) -> Column:
         value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
         parts += [F.length(value).cast("string"), F.lit(":"), value]
     return F.sha2(F.concat(*parts), 256)
+
+
+def open_row_fingerprint(columns: list[str]) -> Column:
+    """A digest of a row that stays the same when its table gains columns: values that are missing or '' say nothing."""
+    parts: list[Column] = [F.lit("")]
+    for c in sorted(columns):
+        value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        named = F.concat(F.lit(f"{len(c)}:{c}="), F.length(value).cast("string"), F.lit(":"), value)
+        parts.append(F.when(value == "", "").otherwise(named))
+    return F.sha2(F.concat(*parts), 256)

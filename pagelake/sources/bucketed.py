@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,17 @@ def read_bucketed(spark: SparkSession, path: str, schema: str, keys: list[str],
     rows = spark.table(name)
     spark.sql(f"drop table {name}")
     return rows
+
+
+def read_bucketed_parts(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int, part: str) -> DataFrame:
+    """The rows of the bucketed folders ``part=…`` below a path as one table with that column.
+
+    Spark looks up partitions when it plans a query, so this table stays in the catalog, one for every path.
+    """
+    name, by = f"bucketed_{hashlib.md5(path.encode()).hexdigest()}", ", ".join(keys)
+    spark.sql(
+        f"create table if not exists {name} ({schema}, {part} string) using parquet partitioned by ({part})"
+        f" clustered by ({by}) sorted by ({by}) into {buckets} buckets location '{path}'"
+    )
+    spark.sql(f"alter table {name} recover partitions")
+    return spark.table(name)

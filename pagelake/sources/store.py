@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.functions.hashing import open_row_fingerprint
 from pagelake.operators import upsert
-from pagelake.session import cut
 from pagelake.sources import pages as scans
-from pagelake.sources.versions import Versions, exists, names_in, remove
+from pagelake.sources.bucketed import read_bucketed_parts, write_bucketed
+from pagelake.sources.versions import Conflict, Versions, names_in, remove
 
 RAW_SCHEMA = (
     "id bigint, site_name string, url string, url_hash string, raw_data string, status string,"
@@ -190,16 +191,48 @@ class TableStore:
         return upsert.key_audit(self.read(), upsert.KEY)
 
 
+def appended(spark: SparkSession, path: str, last: bool = False) -> DataFrame:
+    """The rows of an append table, or those of its last append, under all columns they have."""
+    commits = Versions(spark, path).latest()[1].get("commits", [])
+    places = [f"{path}/commit={c}" for c in (commits[-1:] if last else commits)]
+    if not places:
+        return spark.createDataFrame([], "_fp binary").drop("_fp")
+    return spark.read.option("mergeSchema", True).parquet(*places).drop("_fp")
+
+
+def fresh_rows(spark: SparkSession, batch: DataFrame, path: str) -> tuple[DataFrame, int, dict]:
+    """The batch rows an append table does not have, each once, with their fingerprint ``_fp``; the version and manifest seen.
+
+    Fingerprints are stored with the rows, in buckets: the table is read by that column alone and stays
+    where it is, only the batch is shuffled.
+    """
+    number, manifest = Versions(spark, path).latest()
+    buckets = manifest.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = {"commits": manifest.get("commits", []), "buckets": buckets}
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in batch.columns]
+    rows = batch.withColumn("_fp", F.unhex(open_row_fingerprint(batch.columns))).select(*text, "_fp").dropDuplicates(["_fp"])
+    if manifest["commits"]:
+        known = read_bucketed_parts(spark, path, "_fp binary", ["_fp"], buckets, "commit")
+        rows = rows.join(known.filter(F.col("commit").isin(manifest["commits"])).select("_fp"), "_fp", "left_anti")
+    return rows, number, manifest
+
+
 def append_new(spark: SparkSession, batch: DataFrame, path: str) -> int:
-    """Idempotent append to a text table that may gain columns; returns the inserted count."""
-    fields = [T.StructField(c, T.StringType()) for c in batch.columns]
-    existing = (
-        spark.read.option("mergeSchema", True).parquet(path)
-        if exists(spark, path)
-        else spark.createDataFrame([], T.StructType(fields))
-    )
-    fresh = cut(upsert.idempotent_append(existing, batch))
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    """Idempotent append to a text table that may gain columns; returns the inserted count.
+
+    The rows become part of the table by one commit; against another writer's it is tried again.
+    """
+    for _ in range(8):
+        rows, number, manifest = fresh_rows(spark, batch, path)
+        name = f"{number + 1:012d}-{uuid.uuid4().hex[:12]}"
+        write_bucketed(rows, f"{path}/commit={name}", ["_fp"], manifest["buckets"])
+        n = spark.read.schema("_fp binary").parquet(f"{path}/commit={name}").count()
+        try:
+            if n:
+                Versions(spark, path).commit(number, {**manifest, "commits": [*manifest["commits"], name]})
+            else:
+                remove(spark, f"{path}/commit={name}")
+            return n
+        except Conflict:
+            remove(spark, f"{path}/commit={name}")
+    raise Conflict(f"{path} is written by too many at once")

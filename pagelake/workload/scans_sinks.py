@@ -342,8 +342,11 @@ def _(t):
     """,
 )
 def _(t):
-    rows = t.lineitem.select("l_partkey", "l_returnflag", "l_linestatus")
-    return upsert.idempotent_append(rows.filter("l_linestatus = 'O'"), rows)
+    """Into a stored table: what the second append brings is read back."""
+    rows, path = t.lineitem.select("l_partkey", "l_returnflag", "l_linestatus"), t.scratch("items")
+    store.append_new(t.spark, rows.filter("l_linestatus = 'O'"), path)
+    store.append_new(t.spark, rows, path)
+    return store.appended(t.spark, path, last=True)
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pagelake.operators import upsert
 from pagelake.sources import checkpoint
 from pagelake.sources.intake import stream_files
-from pagelake.sources.store import TableStore
+from pagelake.sources.store import TableStore, append_new, appended, fresh_rows
 from pagelake.sources.versions import Conflict, Versions, names_in
 from pagelake.streaming import flows
 
@@ -165,3 +165,23 @@ def test_the_order_of_saves_decides_not_the_clock(spark, tmp_path, monkeypatch):
     for k in range(4):
         put((2, f"v{k}"), most_saves=3)
     assert got() == {1: "b", 2: "v3"} and len(Versions(spark, f"{path}/sig=x").latest()[1]["saves"]) == 3
+
+
+def test_an_append_reads_fingerprints_where_they_lie(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a")
+    rows = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) as link", "'x' as title")
+    assert append_new(spark, rows(0, 40), path) == 40 and append_new(spark, rows(30, 60), path) == 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fresh_rows(spark, rows(0, 9), path)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "ReadSchema: struct<_fp:binary>" in plan
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "commit", lambda *a: (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            append_new(spark, rows(100, 110), path)
+    assert appended(spark, path).count() == 60 and append_new(spark, rows(100, 110), path) == 10
+    wider = rows(0, 2).selectExpr("link", "title", "if(link = '0', '', 'n') as note")  # an empty note is none
+    assert append_new(spark, wider, path) == 1 and appended(spark, path, last=True).collect()[0]["note"] == "n"
+    assert append_new(spark, rows(0, 5).selectExpr("title", "link"), path) == 0

@@ -37,6 +37,11 @@ def _decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(whole), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
+def unescaped(c: Column) -> Column:
+    """Text with its percent escapes resolved; a plus sign and half-broken escapes stand for themselves."""
+    return F.when(F.contains(c, F.lit("%")), _decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
+
+
 def _encode(c: Column) -> Column:
     encoded = F.url_encode(c)
     return F.replace(F.replace(encoded, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))

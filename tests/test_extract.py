@@ -156,6 +156,34 @@ def test_robots(spark):
     assert ask("Bot/2.1") == [True, False, True, True, True, False, False, True, False]
 
 
+def test_robots_escapes_and_nested_rules(spark):
+    from urllib.robotparser import RobotFileParser
+
+    lines = [
+        (False, "/ü/"), (True, "/a%2Fb"), (False, "/a"), (True, "/a/b/c"), (False, "/q?x=1"), (False, "/50%"), (True, "/p/+"), (False, "/p"),
+        (False, "/%7Euser"), (True, "/deep/1/2"), (False, "/deep/1"), (True, "/deep"), (False, "/d"),
+    ]
+    text = ["User-agent: *", *[f"{'Allow' if allow else 'Disallow'}: {path}" for allow, path in lines]]
+    parser = RobotFileParser()
+    parser.parse(text)
+    rules = spark.createDataFrame([("h.test", "*", i, a, p) for i, (a, p) in enumerate(lines)], "host string, agent string, ordinal int, allow boolean, path string")
+    paths = [
+        "/%C3%BC/x", "/ü/x", "/%c3%bc", "/a/b", "/a%2Fb/z", "/a", "/a/b/c/d", "/ab", "/q?x=12", "/q?x=2", "/50%25", "/50%/x", "/p/+1", "/p/%2B1", "/p/1",
+        "/~user/i", "/%7euser", "/deep/1/2/3", "/deep/1/3", "/deep/2", "/d", "/e", "", "/", "/deep%2F1", "/\U0010fffe",
+    ]
+    df = spark.createDataFrame([(i, f"http://h.test{p}", "k") for i, p in enumerate(paths)], "page_id int, url string, host string")
+    got = {r["page_id"]: r["allowed"] for r in robots.robots_allowed(df, rules).collect()}
+    assert {paths[i]: a for i, a in got.items()} == {p: parser.can_fetch("x", f"http://h.test{p}") for p in paths}
+
+
+def test_many_rules_of_a_host(spark):
+    rules = spark.createDataFrame([("h.test", "*", i, False, f"/{i}") for i in range(300)], "host string, agent string, ordinal int, allow boolean, path string")
+    df = spark.range(3000).selectExpr("id as page_id", "concat('http://h.test/', id % 1000) as url")
+    out = robots.robots_allowed(df, rules)
+    firsts = tuple(str(i) for i in range(1, 300))
+    assert out.where("not allowed").count() == sum(str(i % 1000).startswith(firsts) or i % 1000 == 0 for i in range(3000))
+
+
 def test_profiles(spark):
     scripts = "<script></script>" * 9
     html = [LIST, f"<title> T&amp;T </title><body>{scripts}hi</body>", f"<body>{scripts}__NUXT__</body>", "<a rel=next href=x>n</a>"]

@@ -11,19 +11,36 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.functions import text as tx
 from pagelake.functions.urls import url_fingerprint
 
+#: Up to this many rows of a group Spark limits before the shuffle (``spark.sql.optimizer.windowGroupLimitThreshold``).
+GROUP_LIMIT = 1000
+
 
 def _cols(names: Iterable[str | Column]) -> list[Column]:
     return [F.col(f"`{n}`") if isinstance(n, str) else n for n in names]
 
 
 def first_per_key(df: DataFrame, keys: list, order: list, limit: int = 1) -> DataFrame:
-    """The first ``limit`` rows of every key by ``order`` (a missing key is a key)."""
-    window = W.partitionBy(*_cols(keys)).orderBy(*_cols(order))
-    return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= limit).drop("_rn")
+    """The first ``limit`` rows of every key by ``order`` (a missing key is a key).
+
+    Spark limits groups before the shuffle up to a thousand rows. Beyond that a key is first dealt
+    out over as many parts as there are shuffle partitions, by a hash of the row; each part keeps its first
+    ``limit``, and only those meet.
+    """
+    if limit > GROUP_LIMIT:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hashed = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+        salted = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(0), *hashed), F.lit(parts)))
+        df = _numbered(salted, [*_cols(keys), F.col("_part")], order).filter(F.col("_rn") <= limit).drop("_rn", "_part")
+    return _numbered(df, _cols(keys), order).filter(F.col("_rn") <= limit).drop("_rn")
+
+
+def _numbered(df: DataFrame, keys: list[Column], order: list) -> DataFrame:
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*_cols(order))))
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

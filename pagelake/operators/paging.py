@@ -70,7 +70,7 @@ def page_concurrent(items: DataFrame, order: tuple[str, ...] = ("page_no", "item
 def next_walk(pages: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
     """Follow next links from each seed: ``(seed, url, pos)`` with pos from 1.
 
-    ``pages(url, next_url, disabled, first_item)``, one row per URL. A walk ends where
+    ``pages(url, next_url, disabled, first_item)``; of several rows of a URL the least counts. A walk ends where
     there is no next link, it is disabled, the next page shows no or the same first
     item, a page comes again, or ``max_pages`` is reached.
 
@@ -78,6 +78,8 @@ def next_walk(pages: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
     links that jump 2**k pages and adds only what is new. Lineage is cut by a reliable
     checkpoint each round.
     """
+    shown = pages.groupBy("url").agg(F.min(F.struct("next_url", "disabled", "first_item")).alias("p"))
+    pages = shown.select("url", "p.next_url", "p.disabled", "p.first_item")
     here = pages.filter(~F.coalesce("disabled", F.lit(False)) & F.col("next_url").isNotNull()).select(
         F.col("url").alias("src"), F.col("next_url").alias("dst"),
         F.coalesce("first_item", F.lit("?")).alias("old"),

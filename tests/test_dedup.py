@@ -107,3 +107,15 @@ def test_blank_keys_are_kept_where_the_order_repeats(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), (" ", 1), (None, 1), ("", 1), ("", 1)], "link string, n int")
     kept = [r["link"] for r in dedup.dedup_safe(df, "link", ["n"]).collect()]
     assert sorted(k or "" for k in kept) == ["", "", "", " ", "a"]
+
+
+def test_more_rows_of_a_key_than_spark_limits_early(spark):
+    from pagelake.operators import dedup
+
+    rows = [("hot" if i % 10 else f"k{i % 7}", (i * 7919) % 100_003, i) for i in range(9000)] + [(None, 5, -1), (None, 5, -2)]
+    df = spark.createDataFrame(rows, "k string, t int, id int").repartition(6)
+    want = set()
+    for key in {r[0] for r in rows}:
+        want |= {r[2] for r in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))[:1500]}
+    got = dedup.first_per_key(df, ["k"], [F.desc("t"), F.col("id")], 1500)
+    assert {r["id"] for r in got.collect()} == want and got.columns == df.columns

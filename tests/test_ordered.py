@@ -119,6 +119,13 @@ def test_next_walk(spark, most):
     assert {tuple(r) for r in got.select("seed", "url", "pos").collect()} == set().union(*(walk(pages, s, most) for s in seeds))
 
 
+def test_a_url_with_many_rows_is_one_page(spark):
+    rows = [(f"u{i}", f"u{i + 1}", False, f"i{i}") for i in range(12) for _ in range(5)]
+    df = spark.createDataFrame(rows, "url string, next_url string, disabled boolean, first_item string")
+    got = paging.next_walk(df, spark.createDataFrame([("u0",), ("u0",)], "url string"), 100)
+    assert sorted(tuple(r) for r in got.select("pos", "url").collect()) == [(i + 1, f"u{i}") for i in range(12)]
+
+
 def test_scroll(spark):
     rnd = random.Random(10)
     rows = []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.session import shared_dir
+from pagelake.sources.versions import remove
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -115,4 +116,12 @@ def kept(df: DataFrame) -> DataFrame:
     """
     place = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(place)
+    out.kept_at = place
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop the files of kept tables from which nothing is to be read any more."""
+    for table in tables:
+        remove(table.sparkSession, table.kept_at)

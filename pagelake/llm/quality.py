@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pagelake.llm.common import Memo, as_bytes, check_remainder, mix, per_batch, text_column
+from pagelake.llm.common import Memo, as_bytes, blocks, check_remainder, mix, per_batch, text_column
 
 #: Shares of a text's n-grams from which a shape has a further indicator.
 LEVELS = (0.02, 0.1, 0.3, 0.6)
@@ -183,7 +183,7 @@ def score(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, q = shared.value
         features = Indicators(bits)
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             scores = []
             for t in as_bytes(batch.column("text")):
                 x = features.slots(t)

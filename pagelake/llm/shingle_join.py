@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from pagelake.llm.common import as_bytes, kept, mix, text_column
+from pagelake.llm.common import as_bytes, blocks, forget, kept, mix, text_column
 from pagelake.llm.components import components
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +60,7 @@ def slot_ranks(rows: DataFrame, size: int, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             for text in as_bytes(batch.column("text")):
                 s = shingle_set(text, size)
                 total += np.bincount((s & mask).astype(np.int64), minlength=1 << bits) if len(s) > 4096 else 0
@@ -84,7 +84,7 @@ def with_prefixes(rows: DataFrame, size: int, num: int, den: int, common: int, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             ns, digests, prefixes = [], [], []
             for text in as_bytes(batch.column("text")):
                 s = shingle_set(text, size)
@@ -104,7 +104,7 @@ def sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             found = [(i, d, shingle_set(t, size).tobytes()) for i, d, t in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), as_bytes(batch.column("text")), strict=True)]
             found = [(i, s) for i, d, s in found if xxh3_128_digest(s) == d]
             yield pa.RecordBatch.from_pydict({"node": pa.array([i for i, _ in found], pa.int64()), "set": pa.array([s for _, s in found], pa.binary())})
@@ -117,7 +117,7 @@ def verifier(num: int, den: int) -> Callable:
     """Keeps the pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "x"):
             u, v = [], []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -159,23 +159,26 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
         prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(one, F.first("prefix").alias("prefix"))
         .select("digest", "n", "one.doc_id", "one.text_hash", "prefix", F.xxhash64("n", "prefix").alias("grp"), F.monotonically_increasing_id().alias("node"))
     )
-    groups = classes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # One shuffle by shingle serves the counts and the join with them.
-    tokens = groups.select("grp", "node", "members", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    groups = classes.groupBy("grp").agg(F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # One shuffle by shingle serves the counts and the join with them. A group stands for itself here.
+    tokens = groups.select(F.col("grp").alias("node"), "members", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")).alias("p")
     shared = tokens.groupBy("token").agg(F.sum("members").alias("classes"), pivot).where("classes > 1")
-    held = kept(tokens.join(shared, "token").select("token", "grp", F.struct("node", "n", "pos").alias("q"), "p"))
+    held = kept(tokens.join(shared, "token").select("token", F.struct("node", "n", "pos").alias("q"), "p"))
     # A set that links with any shares enough prefix shingles; others are out of play.
-    play = kept(held.groupBy("grp", F.col("q.n").alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n"), common, num, den)).select("grp"))
+    play = kept(held.groupBy(F.col("q.node").alias("grp"), F.col("q.n").alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n"), common, num, den)).select("grp"))
     members = kept(classes.join(play, "grp").select("grp", "node", "digest", "doc_id", "text_hash"))
-    held = held.join(play, "grp")
-    star = candidates(held.where(F.col("p.node") != F.col("q.node")), common, num, den)
+    in_play = held.join(play, F.col("q.node") == F.col("grp"))
+    star = candidates(in_play.where(F.col("p.node") != F.col("q.node")), common, num, den)
     first = members.groupBy("grp").agg(F.min("node").alias("a"))
     within = members.join(first, "grp").where("node != a").select("a", F.col("node").alias("b"))
-    pairs = kept(star.unionByName(within).distinct())
-    sets = kept(sets_of(rows, members, size))
+    sides = [first.select(F.col("grp").alias(g), F.col("a").alias(c)) for g, c in (("a", "u"), ("b", "v"))]
+    between = star.join(sides[0], "a").join(sides[1], "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    pairs = kept(between.unionByName(within).distinct())
     # Rows of single classes from here on, as a group's classes may be in different components.
-    rest = kept(held.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
+    rest = kept(in_play.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
+    forget(held, play)
+    sets = kept(sets_of(rows, members, size))
 
     def verified(some: DataFrame) -> DataFrame:
         sides = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -199,6 +202,7 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
             break
     else:
         whole = components(links)
+    forget(sets, rest, members)
     # A component's own node is not among the nodes of its table.
     whole = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())
     linked = whole.join(classes.select("node", "doc_id"), "node")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm import contamination, packing, pii, quality, shingle_join
 from pagelake.session import shared_dir, ship
+from pagelake.sources.versions import remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            remove(spark, f"{place}/{k - 1}")  # what the stage before kept has been read to its end
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,23 +6,26 @@ instead, and an entirely unknown word votes for nothing.  Log frequencies are sm
 language; votes are averaged over the text's words, and the score is the winner's share
 after exponentiation.
 
-Words are runs of letters, lower-cased.  A null text, or one without letters, is ``und``
+Words are runs of letters (category L), lower-cased.  A null text, or one without letters, is ``und``
 with score 0.  Texts or languages that are null are not learned from.  Every input row gives
 one output row; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from pagelake.llm.common import Memo, check_remainder, kept, text_column
+from pagelake.llm.common import Memo, check_remainder, forget, kept, text_column
+from pagelake.operators.dedup import first_per_key
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,6 +33,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters. Numbers that are no digits, as fractions, are no letters."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for alpha, run in groupby(w, str.isalpha) if alpha]
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word between its edge marks; the marks alone are no 1-gram."""
     if n == 1:
@@ -38,43 +49,46 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Table:
+    """Vectors of log frequencies by term. Terms are held as 64-bit hashes, so that a table of all words stays small."""
+
+    def __init__(self, size: int, hashes: np.ndarray, vectors: np.ndarray):
+        self.size, self.vectors = size, vectors
+        self.rows = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+
+    def get(self, term: str) -> np.ndarray | None:
+        row = self.rows.get(xxh3_64_intdigest(term, self.size))
+        return None if row is None else self.vectors[row]
+
+
 def learn(
     docs: DataFrame,
     fit_rows_per_language: int = 4000,
-    most_languages: int = 500,
-    most_entries: int = 30_000,
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
 ) -> dict:
-    """Tables of log frequencies: words and one table per n-gram length.
+    """Log frequencies of all words and n-grams, as hashes and vectors by n-gram length.
 
-    Each language is learned from at most ``fit_rows_per_language`` documents, chosen by a
-    hash of the id; the ``most_entries`` most frequent words (and n-grams of each length) of
-    at most ``most_languages`` languages make the model, so its size does not follow the
-    corpus.  The choice of documents keeps at most so many per language and task before the
-    shuffle.
+    Each language is learned from at most ``fit_rows_per_language`` different rows, chosen by a
+    hash of the id; all their words are kept, so the model grows with the number of languages
+    and not with the corpus. Equal rows count once; rows that share an id are learned each with its
+    own language.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(
-        r[0] for r in usable.groupBy(F.col(lang_col).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (
-        usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"))
-        .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= fit_rows_per_language)
-        .select("id", "lang").dropDuplicates(["id"])
-    )
-    rows = (
-        usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").select("lang", "text")
-    )
+    marked = usable.withColumn("w", F.xxhash64("text"))
+    named = marked.select("id", "lang", "w").distinct().withColumn("h", F.xxhash64("id"))
+    chosen = kept(first_per_key(named, ["lang"], ["h", "id", "w"], fit_rows_per_language).select("id", "lang", "w"))
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.w") == F.col("b.w"))
+    rows = marked.alias("a").join(chosen.alias("b"), same, "left_semi").dropDuplicates(["id", "lang", "w"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, int] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for w in LETTERS.findall(text.lower()):
+                for w in words_of(text):
                     found[lang, w] = found.get((lang, w), 0) + 1
             out = {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": pa.array(found.values(), pa.int64())}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) if k != "n" else v for k, v in out.items()})
@@ -96,24 +110,36 @@ def learn(
 
     words = kept(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     parts = words.mapInArrow(gram_counts, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
-    terms = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(parts)
+    terms = kept(words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(parts))
     totals = {(r["lang"], r["size"]): r["n"] for r in terms.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    best = (
-        terms.groupBy("size", "term")
-        .agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("all"), "term")))
-        .where(F.col("rank") <= most_entries).select("size", "term", "by")
-    )
-    tables: dict[int, dict[str, np.ndarray]] = {size: {} for size in (0, *ORDERS)}
-    for r in best.collect():
-        # Half a count for a language that lacks the term keeps its log finite.
-        tables[r["size"]][r["term"]] = np.array(
-            [math.log((r["by"].get(lang, 0) + 0.5) / (totals.get((lang, r["size"]), 0) + 1.0)) for lang in langs], np.float32
-        )
+    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, packed = [], []
+            for size, term, by in zip(*(batch.column(c).to_pylist() for c in ("size", "term", "by")), strict=True):
+                n = np.zeros(len(langs))
+                for entry in by:
+                    n[place[entry["lang"]]] = entry["n"]
+                # Half a count for a language that lacks the term keeps its log finite.
+                hashes.append(xxh3_64_intdigest(term, size))
+                packed.append((np.log(n + 0.5) - bases[size]).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_pydict({"size": batch.column("size"), "h": np.array(hashes, np.uint64).view(np.int64), "v": pa.array(packed, pa.binary())})
+
+    bases = {size: np.log(np.array([totals.get((lang, size), 0) + 1.0 for lang in langs])) for size in (0, *ORDERS)}
+    by_term = terms.groupBy("size", "term").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
+    found = by_term.mapInArrow(vectors, "size int, h long, v binary").toArrow()
+    tables = {}
+    for size in (0, *ORDERS):
+        mine = found.filter(pa.compute.equal(found["size"], size)).combine_chunks()
+        packed = b"".join(mine["v"].to_pylist())
+        tables[size] = (mine["h"].to_numpy().view(np.uint64), np.frombuffer(packed, "<f4").reshape(mine.num_rows, len(langs)))
+    forget(chosen, words, terms)
     return {"langs": langs, "tables": tables}
 
 
-def vote(word: str, tables: dict[int, dict[str, np.ndarray]]) -> np.ndarray | None:
+def vote(word: str, tables: dict[int, Table] | dict[int, dict[str, np.ndarray]]) -> np.ndarray | None:
     """A word's log frequencies by language, from the first table that knows it or part of it."""
     known = tables[0].get(word)
     if known is not None:
@@ -131,13 +157,14 @@ def predict(docs: DataFrame, model: dict, known: int = 200_000, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, tables = shared.value["langs"], shared.value["tables"]
+        langs = shared.value["langs"]
+        tables = {size: Table(size, *packed) for size, packed in shared.value["tables"].items()}
         memo = Memo(known)
         nothing = np.zeros(len(langs), np.float32)
         for batch in batches:
             names, scores = [], []
             for text in batch.column("text").to_pylist():
-                words = LETTERS.findall(text.lower())
+                words = words_of(text)
                 if not words or not langs:
                     names.append(UNKNOWN)
                     scores.append(0.0)

@@ -113,8 +113,9 @@ def disclosing_terms(docs: DataFrame, holders: DataFrame, share: float, least_do
     sums = [F.sum(f"k{i}").alias(f"k{i}") for i in range(len(KINDS))]
     with_kind = holders.select(F.explode(distinct_terms("text")).alias("term"), *flags).groupBy("term").agg(*sums)
     likely = kept(with_kind.where(F.greatest(*[f"k{i}" for i in range(len(KINDS))]) >= least_docs))
-    every = docs.select(F.explode(distinct_terms(text_col)).alias("term")).join(likely.select("term"), "term", "left_semi")
-    counts = every.groupBy("term").agg(F.count("*").alias("n")).join(likely, "term")
+    # Counted in each task first: what is shuffled are its distinct terms, whatever becomes of the join.
+    every = docs.select(F.explode(distinct_terms(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = every.join(likely, "term")
     n = docs.count()
     totals = holders.select(*flags).agg(*sums).first()
     candidates = []

@@ -7,6 +7,10 @@ a share of the kind's own information content (a share of 1 means that the term
 occurs without the kind).  In documents that hold the kind, such terms become spans too:
 below ``remove_share`` they are generalised to the kind's name, from there on removed.
 
+A code (16 or more ASCII letters, digits, ``_`` and ``-``, with letters and digits among them, as in
+keys and tokens) gives a single document away: in n of N documents it has log2(N / n) of the log2(N)
+bits that name one.  From ``code_share`` of them on it is removed, in every document that holds it.
+
 Null texts count as empty.  Every row gives one row; repeated rows and null ids are treated
 like others (documents are told apart by id and text together).  An empty table gives no
 rows.  Other columns of the table are never read, or kept as they are by ``sanitize``.
@@ -33,6 +37,7 @@ PATTERNS = {
 }
 MARKS = {"email": "@", "phone": "+"}
 WORD = r"\p{L}++"
+CODE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -87,13 +92,18 @@ def written(spans: Column) -> Column:
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, key (the text's hash) and base spans."""
+    """doc_id, text, key (the text's hash), base spans and distinct codes."""
     text = text_column(docs, text_col)
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base")
+        "doc_id", "text", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), distinct_codes("text").alias("codes")
     )
 
 
+def distinct_codes(text: str) -> Column:
+    mixed = F.filter(F.regexp_extract_all(F.col(text), F.lit(CODE), F.lit(0)), lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
+    return F.array_distinct(mixed)
+
+
 def of_kind(kind: int) -> Column:
     return F.filter("base", lambda s: s["kind"] == kind)
 
@@ -138,17 +148,19 @@ def find(
     share: float = 0.8,
     remove_share: float = 0.95,
     least_docs: int = 5,
+    code_share: float = 0.5,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, key (hash of the text), base spans and added term spans of rows that have any.
 
     Spans are (start, kind, end); an added span's kind is 4 plus the number of the kind that
-    the term discloses, plus 4 more where it is to be removed.  Texts are searched once; the
-    rows with base spans are written with their texts, for what follows.
+    the term discloses, plus 4 more where it is to be removed; a code's is 8.  Texts are searched
+    once; the rows with base spans or codes are written with their texts, for what follows.
     """
     some = docs.where(F.col(text_col).rlike("[0-9@]"))
-    holders = kept(with_base(some, id_col, text_col).where(F.size("base") > 0))
+    found = kept(with_base(some, id_col, text_col).where((F.size("base") > 0) | (F.size("codes") > 0)))
+    holders = found.where(F.size("base") > 0)
     # Written and read again: its size is then known, and Spark broadcasts it only if it is small.
     disclosing = kept(disclosing_terms(docs, holders, share, least_docs, text_col))
     kinds = F.array_distinct(F.transform("base", lambda s: s["kind"]))
@@ -159,18 +171,35 @@ def find(
         .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("term", (F.col("c.kind") + len(KINDS) + F.when(F.col("c.share") >= remove_share, len(KINDS)).otherwise(0)).alias("kind"))).alias("hits"))
     )
-    a, b = holders.alias("a"), hits.alias("b")
+    least = max(docs.count(), 1) ** (1 - code_share)
+    each = found.select("doc_id", "key", F.explode("codes").alias("code"))
+    rare = kept(each.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") <= least).select("code"))
+    telling = each.join(rare, "code").groupBy("doc_id", "key").agg(F.collect_set("code").alias("codes"))
+    a, b, c = found.alias("a"), hits.alias("b"), telling.alias("c")
+
+    def overlaps(s: Column, spans: Column) -> Column:
+        return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    def named(spots: Column) -> Column:
+    def coded(spots: Column) -> Column:
+        own = F.filter(spots, lambda s: F.array_contains("c.codes", s["match"]) & ~overlaps(s, F.col("a.base")))
+        return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(2 * len(KINDS)).alias("kind"), s["end"].alias("end")))
+
+    def named(spots: Column, taken: Column) -> Column:
         by_term = F.map_from_entries(F.col("b.hits"))
-        inside = lambda s: F.exists("a.base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        inside = lambda s: overlaps(s, taken)
         own = F.transform("b.hits", lambda h: h["term"])
         spotted = let(own, lambda terms: F.filter(spots, lambda s: F.array_contains(terms, F.lower(s["match"])) & ~inside(s)))
         return let(by_term, lambda m: F.transform(spotted, lambda s: F.struct(s["start"].alias("start"), F.element_at(m, F.lower(s["match"])).alias("kind"), s["end"].alias("end"))))
 
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
-    added = F.when(F.col("b.hits").isNotNull(), named(found_at(F.col("a.text"), WORD))).otherwise(F.array().cast(SPAN))
-    return a.join(b, same, "left").select("a.doc_id", "a.key", "a.base", added.alias("added"))
+    same = [F.col("a.doc_id").eqNullSafe(F.col(f"{t}.doc_id")) & (F.col("a.key") == F.col(f"{t}.key")) for t in "bc"]
+    none = F.array().cast(SPAN)
+    codes = F.when(F.col("c.codes").isNotNull(), coded(found_at(F.col("a.text"), CODE))).otherwise(none)
+
+    def with_terms(codes: Column) -> Column:
+        terms = F.when(F.col("b.hits").isNotNull(), named(found_at(F.col("a.text"), WORD), F.concat("a.base", codes))).otherwise(none)
+        return F.concat(codes, terms)
+
+    return a.join(b, same[0], "left").join(c, same[1], "left").select("a.doc_id", "a.key", "a.base", let(codes, with_terms).alias("added"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as tx
 from pagelake.functions.urls import url_fingerprint
-from pagelake.operators import ordered
 from pagelake.operators.dedup import dedup_first
 
 
@@ -78,25 +77,3 @@ def follow_links(links: DataFrame, pages: DataFrame, dst: str = "dst", url: str
     """Links whose target was fetched, with that page (inner join on the fingerprint)."""
     target = pages.withColumn("url_hash", url_fingerprint(url)).withColumnRenamed(url, "target_url")
     return links.withColumn("url_hash", url_fingerprint(dst)).join(target, "url_hash")
-
-
-def sticky_assign(domains: DataFrame, bindings: DataFrame, proxies: DataFrame, max_fail: int = 3) -> DataFrame:
-    """A proxy per domain: the bound one while it lives, else one picked by hash.
-
-    ``domains(domain)``, ``bindings(domain, proxy)``, ``proxies(proxy, fails)``. The pick
-    depends on the domain alone, so a rerun gives the same answer.
-    """
-    alive = proxies.filter(F.coalesce("fails", F.lit(0)) < max_fail).select("proxy").distinct()
-    numbered = ordered.number_rows(alive, ["proxy"], "_no")
-    total = numbered.agg(F.count("*").alias("_total"))
-    n = total.first()["_total"]
-    bound = bindings.join(alive, "proxy", "left_semi").select("domain", F.col("proxy").alias("_bound"))
-    wanted = domains.select("domain").distinct().join(bound, "domain", "left")
-    if n == 0:
-        return wanted.select("domain", F.lit(None).cast("string").alias("proxy"))
-    pick = F.when(F.col("_bound").isNull(), F.pmod(F.xxhash64("domain"), F.lit(n)) + 1)
-    return (
-        wanted.withColumn("_no", pick)
-        .join(numbered, "_no", "left")
-        .select("domain", F.coalesce("_bound", "proxy").alias("proxy"))
-    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.functions.hashing import bloom_positions, bloom_shape
-from pagelake.operators import bloom, dedup, enrich, ordered, paging, proxies
+from pagelake.operators import bloom, dedup, enrich, ordered, paging, proxies, sketches
+from pagelake.operators.sticky import BUCKETS, sticky_assign
 from pagelake.operators.throttle import throttle
 from pagelake.session import epoch_micros
 from pagelake.sources.seen import SeenUrls
@@ -124,9 +125,26 @@ def _(t):
     return rows.select("c_custkey", fp.alias("fp"))
 
 
-@query("approx_distinct")
+@query(
+    "approx_distinct",
+    """
+    select event_type, count(distinct user_id) as users, count(distinct cast(ts as date))::bigint as days, true as within
+    from events group by 1
+    """,
+)
 def _(t):
-    return t.documents.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n"))
+    """Distinct users per event type from sketches kept per day, held against the exact count."""
+    day = F.floor(epoch_micros("ts") / 86_400_000_000).alias("day")
+    rows = t.events.select("event_type", "user_id", day)
+    kept = sketches.SketchTable(t.spark, t.scratch("sketches"), "user_id", ["event_type", "day"])
+    for half in (0, 1):
+        kept.add(rows.filter(F.pmod("day", F.lit(2)) == half), f"half{half}")
+    kept.add(rows, "half1")  # known by its name, so nothing changes
+    kept.compact()
+    days = kept.read()
+    estimates = sketches.united(days, ["event_type"]).join(days.groupBy("event_type").agg(F.count("*").alias("days")), "event_type")
+    exact = t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(estimates, "event_type").select("event_type", "users", "days", sketches.within("sketch", "users").alias("within"))
 
 
 # --- bloom --------------------------------------------------------------------------------
@@ -315,15 +333,53 @@ def _(t):
     return enrich.follow_links(links, _customer_pages(t)).select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@query("sticky_assign")
+def _sticky_sql(rounds: int = 12) -> str:
+    """Rounds written out; each has the buckets that were turned away by those before."""
+    out = f"""
+        with doms as materialized (
+            select domain, ('0x' || substr(md5(domain), 1, 8))::bigint % {BUCKETS} as bucket
+            from (select distinct split_part(url, '/', 3) as domain from pages)
+        ),
+        alive as materialized (select s_name as proxy from supplier where s_suppkey % 5 < 3),
+        bound as materialized (
+            select split_part(url, '/', 3) as domain, min(proxy) as proxy
+            from (select url, printf('Supplier#%09d', page_id % 100) as proxy from pages where page_id % 3 = 0)
+            where proxy in (select proxy from alive) group by 1
+        ),
+        w0 as materialized (select bucket, count(*) as n from doms anti join bound using (domain) group by 1),
+        r0 as materialized (
+            select alive.proxy, ceil((select count(*) from doms) * 1.25 / (select count(*) from alive)) - count(bound.domain) as room
+            from alive left join bound using (proxy) group by 1
+        )"""
+    for k in range(rounds):
+        out += f""",
+        t{k} as materialized (
+            select bucket, proxy, n, coalesce(sum(n) over (
+                partition by proxy order by md5(bucket::varchar), bucket rows between unbounded preceding and 1 preceding), 0) < room as fits
+            from (select bucket, n, proxy, room from w{k}, r{k} where room > 0
+                  qualify row_number() over (partition by bucket order by md5(bucket || ':' || proxy) desc, proxy desc) = 1)
+        ),
+        w{k + 1} as materialized (select bucket, n from t{k} where not fits),
+        r{k + 1} as materialized (
+            select r{k}.proxy, room - coalesce(used, 0) as room
+            from r{k} left join (select proxy, sum(n) as used from t{k} where fits group by 1) using (proxy)
+        )"""
+    placed = " union all ".join(f"select bucket, proxy from t{k} where fits" for k in range(rounds))
+    return out + f"""
+        select domain, coalesce(bound.proxy, placed.proxy) as proxy
+        from doms left join bound using (domain) left join ({placed}) as placed using (bucket)
+        """
+
+
+@query("sticky_assign", _sticky_sql())
 def _(t):
     domains = t.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("domain"))
     table = t.supplier.select(F.col("s_name").alias("proxy"), (F.col("s_suppkey") % 5).alias("fails"))
-    bindings = t.pages.select(
+    bindings = t.pages.filter("page_id % 3 = 0").select(
         F.split_part("url", F.lit("/"), F.lit(3)).alias("domain"),
         F.format_string("Supplier#%09d", F.col("page_id") % 100).alias("proxy"),
-    ).groupBy("domain").agg(F.min("proxy").alias("proxy"))
-    return enrich.sticky_assign(domains, bindings, table)
+    )
+    return sticky_assign(domains, bindings, table)
 
 
 # --- paging -------------------------------------------------------------------------------

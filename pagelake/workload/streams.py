@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelake.session import epoch_micros
 from pagelake.sources.intake import stream_files
+from pagelake.sources.seeds import stream_seeds
 from pagelake.sources.store import TableStore
 from pagelake.streaming import flows
 from pagelake.workload.registry import query
@@ -29,6 +30,16 @@ def _(t):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+@query("stream_seeds", "select url as seed, count(*) as n from pages group by 1")
+def _(t):
+    """URLs appended to a seed list between two runs of one stream; the second takes up where the first stopped."""
+    folder, out, ckpt = t.scratch("seeds"), t.scratch("out"), t.scratch("ckpt")
+    for rest in (0, 1):
+        t.pages.filter(F.col("page_id") % 2 == rest).select("url").write.mode("append").text(folder)
+        taken = flows.drain_to_files(stream_seeds(t.spark, folder, part_bytes=1 << 16), out, ckpt)
+    return taken.groupBy("seed").agg(F.count("*").alias("n"))
+
+
 @query(
     "stream_clean",
     r"""

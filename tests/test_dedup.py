@@ -92,17 +92,6 @@ def test_idempotent_append_counts_new_rows_only(spark):
     assert upsert.idempotent_append(a, b).count() == 2
 
 
-def test_sticky(spark):
-    domains = spark.createDataFrame([(f"d{i}",) for i in range(50)], "domain string")
-    table = spark.createDataFrame([("p1", 0), ("p2", 3), ("p3", 2)], "proxy string, fails int")
-    bindings = spark.createDataFrame([("d0", "p3"), ("d1", "p2")], "domain string, proxy string")
-    got = {r["domain"]: r["proxy"] for r in enrich.sticky_assign(domains, bindings, table).collect()}
-    assert got["d0"] == "p3" and set(got.values()) == {"p1", "p3"} and len(got) == 50
-    assert got == {r["domain"]: r["proxy"] for r in enrich.sticky_assign(domains.repartition(3), bindings, table).collect()}
-    none = enrich.sticky_assign(domains, bindings, table.filter("fails > 9")).collect()
-    assert all(r["proxy"] is None for r in none)
-
-
 def test_blank_keys_are_kept_where_the_order_repeats(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), (" ", 1), (None, 1), ("", 1), ("", 1)], "link string, n int")
     kept = [r["link"] for r in dedup.dedup_safe(df, "link", ["n"]).collect()]

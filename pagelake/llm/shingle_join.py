@@ -4,7 +4,8 @@ A document is the set of its word shingles.  Shingles are put in one global orde
 first: their frequencies are counted over all documents in a fixed number of hash slots, and
 ties go by hash.  Two sets with a Jaccard similarity of at least num/den must share k of
 their first ``n - ceil(n * num / den) + k`` shingles (or all that they have in common, where
-that is less), for any k.
+that is less), for any k.  Sets of sizes n and m have ``o = ceil((n + m) * num / (num + den))``
+shingles in common, so that for the pair the first ``n - o + k`` and ``m - o + k`` will do.
 
 1. Documents with equal sets become one class.
 2. Classes with the same prefix and size become one group.  Groups that share fewer than k
@@ -130,11 +131,20 @@ def verifier(num: int, den: int) -> Callable:
     return run
 
 
-def may_link(p: str, q: str, num: int, den: int) -> Column:
-    """Bounds from sizes and the positions of one common shingle."""
+def overlap(n1: Column, n2: Column, num: int, den: int) -> Column:
+    """How many shingles two linked sets of these sizes have in common at least."""
+    return F.ceil((n1 + n2) * num / (num + den))
+
+
+def may_link(p: str, q: str, common: int, num: int, den: int) -> Column:
+    """Bounds from sizes and the positions of one shared shingle.
+
+    A stored prefix serves partners of every size; for the two sizes at hand a shorter one will do.
+    """
     n1, n2, i, j = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (p, q))
-    most = F.least(i, j) + F.least(n1 - i, n2 - j)
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most * (num + den) >= (n1 + n2) * num)
+    need = overlap(n1, n2, num, den)
+    inside = (i < n1 - need + common) & (j < n2 - need + common)
+    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & inside & (F.least(i, j) + F.least(n1 - i, n2 - j) >= need)
 
 
 def enough(n: Column, common: int, num: int, den: int) -> Column:
@@ -145,8 +155,8 @@ def enough(n: Column, common: int, num: int, den: int) -> Column:
 def candidates(paired: DataFrame, common: int, num: int, den: int) -> DataFrame:
     """(a, b), a < b: pairs of p and q that share enough prefix shingles; one input row per shingle."""
     p, q = F.struct("p.node", "p.n"), F.struct("q.node", "q.n")
-    some = paired.where(may_link("p", "q", num, den)).groupBy(F.least(p, q).alias("s"), F.greatest(p, q).alias("t")).agg(F.count("*").alias("shared"))
-    return some.where(F.col("shared") >= enough(F.greatest("s.n", "t.n"), common, num, den)).select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
+    some = paired.where(may_link("p", "q", common, num, den)).groupBy(F.least(p, q).alias("s"), F.greatest(p, q).alias("t")).agg(F.count("*").alias("shared"))
+    return some.where(F.col("shared") >= F.least(F.lit(common), overlap(F.col("s.n"), F.col("t.n"), num, den))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
 
 
 def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int) -> DataFrame:
@@ -215,7 +225,7 @@ def near_duplicates(
     shingle: int = 5,
     num: int = 80,
     den: int = 100,
-    common: int = 6,
+    common: int = 2,
     bits: int = 18,
     rounds: int = 1,
     id_col: str = "doc_id",

@@ -18,7 +18,9 @@ verified.  The join therefore runs in rounds: first every group that shares a sh
 paired with one pivot of that shingle (as many pairs as rows, however hot the shingle), and
 classes with the first of their group.  After that, pairs that are still in different
 components are paired with another pivot, and at last all that remain, so that no link is
-missed.
+missed.  Thousands of near copies that just do not link would then meet in all pairs; so
+classes near one pivot are joined on the shingles by which they differ from it instead, which
+is a prefix join of much smaller sets with rarer members.
 
 Words are separated by ASCII white space, A-Z lower-cased.  With fewer words than a shingle
 has, the whole sequence is the one shingle; null texts and texts without words have an empty
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -159,6 +161,56 @@ def candidates(paired: DataFrame, common: int, num: int, den: int) -> DataFrame:
     return some.where(F.col("shared") >= F.least(F.lit(common), overlap(F.col("s.n"), F.col("t.n"), num, den))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
 
 
+def homes(named: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, home): the pivot of more than half of a class's shingles, if there is one."""
+    votes = named.join(pivots, "token").groupBy(F.col("q.node").alias("node"), F.col("p.node").alias("home")).agg(F.count("*").alias("s"))
+    return votes.groupBy("node").agg(F.sum("s").alias("all"), F.max(F.struct("s", "home")).alias("best")).where("2 * best.s > all").select("node", "best.home")
+
+
+def deltas(home: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, home, n, linked, delta): what is in one of both sets only, where that is at most half of a class's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "x"):
+            out = {"node": [], "home": [], "n": [], "linked": [], "delta": []}
+            for node, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("node", "home", "x", "y")), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                delta = np.setxor1d(p, q, assume_unique=True)
+                if 2 * len(delta) <= len(p):
+                    union = (len(p) + len(q) + len(delta)) // 2
+                    values = (node, at, len(p), bool(den * (union - len(delta)) >= num * union), delta.view(np.int64))
+                    for column, value in zip(out.values(), values, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("node", pa.int64()), ("home", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))]))
+
+    sides = home.join(sets.select("node", F.col("set").alias("x")), "node").join(sets.select(F.col("node").alias("home"), F.col("set").alias("y")), "home")
+    return sides.select("node", "home", "x", "y").mapInArrow(run, "node long, home long, n long, linked boolean, delta array<long>")
+
+
+def delta_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: pairs of one home and two components that may link; near has c, the component, too.
+
+    Sets of sizes n and m that link have ``o`` shingles in common, hence their differences from
+    their home, of sizes d and e, have ``o - (n + m - d - e) / 2``.  That is one at least unless
+    both link with their home, and they then are in one component.  So this is a prefix join
+    again, on differences, rare ones of the home first.
+    """
+    elems = near.select("home", "node", "n", "c", F.size("delta").alias("d"), F.explode("delta").alias("elem"))
+    counts = elems.groupBy("home", "elem").agg(F.count("*").alias("held"))
+    order = F.row_number().over(Window.partitionBy("node").orderBy("held", "elem")) - 1
+    most = F.floor(F.col("n") * (den - num) / num)  # by so many shingles a linked partner differs at most
+    placed = elems.join(counts, ["home", "elem"]).withColumn("pos", order)
+    short = kept(placed.where((F.col("held") > 1) & (F.col("pos") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - most))).select("home", "elem", F.struct("node", "n", "d", "pos", "c").alias("p")))
+    d1, d2, i, j = (F.col(f"{s}.{c}") for c in ("d", "pos") for s in ("p", "q"))
+    n1, n2 = F.col("p.n"), F.col("q.n")
+    need = F.greatest(F.lit(1), overlap(n1, n2, num, den) - (n1 + n2 - d1 - d2) / 2)
+    fits = (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (i <= d1 - need) & (j <= d2 - need) & (F.least(i, j) + F.least(d1 - i, d2 - j) >= need)
+    paired = short.join(short.withColumnRenamed("p", "q"), ["home", "elem"]).where((F.col("p.c") < F.col("q.c")) & fits)
+    pairs = kept(paired.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+    forget(short)
+    return pairs
+
+
 def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int) -> DataFrame:
     """(digest, n, c) of the classes; c is the smallest doc_id of those that links reach.
 
@@ -194,24 +246,36 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
         sides = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         return kept(sides.select("a", "b", "x", "y").mapInArrow(verifier(num, den), "u long, v long"))
 
+    def named_by(whole: DataFrame) -> DataFrame:
+        return rest.join(whole, "node", "left").select("token", F.struct("node", "n", "pos").alias("q"), F.coalesce("component", "node").alias("c"))
+
+    def mixed(named: DataFrame, hashed: Column) -> DataFrame:
+        """(token, p) of the shingles that several components have, p the class whose hash is smallest."""
+        pivot = F.min(F.struct(hashed.alias("h"), "q.node", "q.n", "q.pos", "c")).alias("p")
+        return named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), pivot).where("c1 < c2").select("token", "p")
+
     links, tried = verified(pairs), pairs
-    for k in range(rounds + 1):
-        whole = components(links)
-        named = rest.join(whole, "node", "left").select("token", F.struct("node", "n", "pos").alias("q"), F.coalesce("component", "node").alias("c"))
-        pivot = F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), "q.node", "q.n", "q.pos", "c")).alias("p")
-        mixed = named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), pivot).where("c1 < c2")
-        if k < rounds:
-            paired = named.join(mixed.select("token", "p"), "token").where(F.col("c") != F.col("p.c"))
-        else:
-            left = named.join(mixed.select("token"), "token").select("token", F.col("c").alias("c1"), F.col("q").alias("p"))
-            paired = left.join(named, "token").where(F.col("c1") < F.col("c"))
+    for k in range(rounds):
+        named = named_by(components(links))
+        paired = named.join(mixed(named, F.xxhash64("c", F.lit(k))), "token").where(F.col("c") != F.col("p.c"))
         new = kept(candidates(paired, common, num, den).join(tried, ["a", "b"], "left_anti"))
-        if new.take(1):
-            links, tried = links.unionByName(verified(new)), tried.unionByName(new)
-        elif k == rounds:
-            break
-    else:
-        whole = components(links)
+        links, tried = links.unionByName(verified(new)), tried.unionByName(new)
+    # What is left: classes near one pivot are joined on what they differ by from it, all others on shingles.
+    whole = components(links)
+    named = named_by(whole)
+    pivots = kept(mixed(named, F.xxhash64("q.node")))
+    near = kept(deltas(homes(named, pivots), sets, num, den))
+    links = links.unionByName(near.where("linked and node != home").select(F.col("node").alias("u"), F.col("home").alias("v")))
+    by_delta = delta_pairs(near.join(whole, "node", "left").withColumn("c", F.coalesce("component", "node")), num, den)
+    left = kept(
+        named.join(pivots.select("token"), "token").join(near.select(F.col("node").alias("near"), "home"), F.col("q.node") == F.col("near"), "left")
+        .select("token", F.struct("q.node", "q.n", "q.pos", "c", "home").alias("q"))
+    )
+    apart = (F.col("p.c") < F.col("q.c")) & F.coalesce(F.col("p.home") != F.col("q.home"), F.lit(True))
+    paired = left.withColumnRenamed("q", "p").join(left, "token").where(apart)
+    new = kept(candidates(paired, common, num, den).unionByName(by_delta).distinct().join(tried, ["a", "b"], "left_anti"))
+    whole = components(links.unionByName(verified(new)))
+    forget(pivots, near, left, by_delta)
     forget(sets, rest, members)
     # A component's own node is not among the nodes of its table.
     whole = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())

@@ -161,10 +161,13 @@ def candidates(paired: DataFrame, common: int, num: int, den: int) -> DataFrame:
     return some.where(F.col("shared") >= F.least(F.lit(common), overlap(F.col("s.n"), F.col("t.n"), num, den))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
 
 
-def homes(named: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(node, home): the pivot of more than half of a class's shingles, if there is one."""
+def homes(named: DataFrame, pivots: DataFrame, crowd: int) -> DataFrame:
+    """(node, home): the pivot of more than half of a class's shingles, if at least ``crowd`` classes have it."""
     votes = named.join(pivots, "token").groupBy(F.col("q.node").alias("node"), F.col("p.node").alias("home")).agg(F.count("*").alias("s"))
-    return votes.groupBy("node").agg(F.sum("s").alias("all"), F.max(F.struct("s", "home")).alias("best")).where("2 * best.s > all").select("node", "best.home")
+    best = votes.groupBy("node").agg(F.sum("s").alias("all"), F.max(F.struct("s", "home")).alias("best")).where("2 * best.s > all")
+    found = kept(best.select("node", "best.home"))
+    crowded = found.groupBy("home").agg(F.count("*").alias("classes")).where(F.col("classes") >= crowd).select("home")
+    return found.join(crowded, "home").select("node", "home")
 
 
 def deltas(home: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -211,7 +214,7 @@ def delta_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
     return pairs
 
 
-def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int) -> DataFrame:
+def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, den: int, common: int, rounds: int, crowd: int) -> DataFrame:
     """(digest, n, c) of the classes; c is the smallest doc_id of those that links reach.
 
     A class's node is a number of its own, as classes may have the smallest doc_id in common.
@@ -264,7 +267,7 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     whole = components(links)
     named = named_by(whole)
     pivots = kept(mixed(named, F.xxhash64("q.node")))
-    near = kept(deltas(homes(named, pivots), sets, num, den))
+    near = kept(deltas(homes(named, pivots, crowd), sets, num, den))
     links = links.unionByName(near.where("linked and node != home").select(F.col("node").alias("u"), F.col("home").alias("v")))
     by_delta = delta_pairs(near.join(whole, "node", "left").withColumn("c", F.coalesce("component", "node")), num, den)
     left = kept(
@@ -289,9 +292,10 @@ def near_duplicates(
     shingle: int = 5,
     num: int = 80,
     den: int = 100,
-    common: int = 2,
+    common: int = 6,
     bits: int = 18,
     rounds: int = 1,
+    crowd: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -300,12 +304,13 @@ def near_duplicates(
     Two documents link when ``den * intersection >= num * union``.  ``common`` is how many
     prefix shingles candidates share (prefixes grow by as many).  ``bits`` sets the size of the
     frequency table (2**bits counters, whatever the corpus), ``rounds`` how many further
-    pivots are tried before all remaining pairs are.
+    pivots are tried before all remaining pairs are.  Where ``crowd`` classes or more are near one
+pivot they are joined on their differences from it (fewer make few pairs); links are the same.
     """
     text = text_column(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
-    named = link_components(prefixes, rows, shingle, num, den, common, rounds)
+    named = link_components(prefixes, rows, shingle, num, den, common, rounds, crowd)
     # Rows that share an id are one node, whatever their sets.
     by_id = prefixes.where("doc_id is not null and n > 0").join(named, ["digest", "n"]).select("doc_id", "c")
     chains = by_id.groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u < v")

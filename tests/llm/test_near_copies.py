@@ -34,7 +34,7 @@ def test_links_like_brute_force(docs, seed, size, num, rounds):
     links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     want = classes(range(len(texts)), links)
     assert 5 < len(set(want.values())) < len(texts) - 5
-    got = shingle_join.near_duplicates(docs(texts), shingle=size, num=num, rounds=rounds).collect()
+    got = shingle_join.near_duplicates(docs(texts), shingle=size, num=num, rounds=rounds, crowd=2 + 6 * rounds).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 

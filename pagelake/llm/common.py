@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.session import shared_dir
@@ -108,14 +109,33 @@ def check_remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind, which else stay until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder as Parquet and read again.
 
     Like a checkpoint this cuts the lineage where every executor can read; it is compressed,
-    and Spark knows its size when it plans the joins that follow.
+    and Spark knows its size when it plans the joins that follow. Nothing reads the shuffles
+    of the write again, so they go at its end.
     """
     place = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(place)
     out = df.sparkSession.read.schema(df.schema).parquet(place)
     out.kept_at = place
     return out

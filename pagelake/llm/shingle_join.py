@@ -100,30 +100,43 @@ def with_prefixes(rows: DataFrame, size: int, num: int, den: int, common: int, b
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, prefix array<long>")
 
 
-def sets_of(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set): the whole sets of some classes, as packed hashes; nodes has node, digest, doc_id and text_hash.
+def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, digest, text) of some classes; nodes has node, digest, doc_id and text_hash.
 
-    A row gives the set of the one class that names its id and text, whatever other rows share the id.
+    A row gives the text of the one class that names its id and text, whatever other rows share the id.
     """
+    return rows.join(nodes.select("node", "digest", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "digest", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            found = [(i, d, shingle_set(t, size).tobytes()) for i, d, t in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), as_bytes(batch.column("text")), strict=True)]
-            found = [(i, s) for i, d, s in found if xxh3_128_digest(s) == d]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([i for i, _ in found], pa.int64()), "set": pa.array([s for _, s in found], pa.binary())})
 
-    wanted = rows.join(nodes.select("node", "digest", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "digest", "text")
-    return wanted.mapInArrow(run, "node long, set binary")
+def side(texts: DataFrame, node: str, name: str) -> DataFrame:
+    """The texts as one side of a pair."""
+    return texts.select(F.col("node").alias(node), F.col("digest").alias(f"d{name}"), F.col("text").alias(name))
+
+
+def set_pairs(batch: pa.RecordBatch, first: str, second: str, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Two nodes and their whole sets, for the rows of a block; a text that has not the digest of its class is another's."""
+    known = {}
+
+    def whole(text: bytes) -> tuple[np.ndarray, bytes]:
+        if text not in known:
+            s = shingle_set(text, size)
+            known[text] = s, xxh3_128_digest(s.tobytes())
+        return known[text]
+
+    ids = (batch.column(c).to_pylist() for c in (first, second, "dx", "dy"))
+    for a, b, dx, dy, x, y in zip(*ids, as_bytes(batch.column("x")), as_bytes(batch.column("y")), strict=True):
+        (p, one), (q, two) = whole(x), whole(y)
+        if one == dx and two == dy:
+            yield a, b, p, q
 
 
-def verifier(num: int, den: int) -> Callable:
+def verifier(size: int, num: int, den: int) -> Callable:
     """Keeps the pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "x"):
             u, v = [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, p, q in set_pairs(batch, "a", "b", size):
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 if den * common >= num * (len(p) + len(q) - common):
                     u.append(a)
@@ -170,14 +183,13 @@ def homes(named: DataFrame, pivots: DataFrame, crowd: int) -> DataFrame:
     return found.join(crowded, "home").select("node", "home")
 
 
-def deltas(home: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def deltas(home: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(node, home, n, linked, delta): what is in one of both sets only, where that is at most half of a class's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "x"):
             out = {"node": [], "home": [], "n": [], "linked": [], "delta": []}
-            for node, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("node", "home", "x", "y")), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for node, at, p, q in set_pairs(batch, "node", "home", size):
                 delta = np.setxor1d(p, q, assume_unique=True)
                 if 2 * len(delta) <= len(p):
                     union = (len(p) + len(q) + len(delta)) // 2
@@ -186,8 +198,8 @@ def deltas(home: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("node", pa.int64()), ("home", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))]))
 
-    sides = home.join(sets.select("node", F.col("set").alias("x")), "node").join(sets.select(F.col("node").alias("home"), F.col("set").alias("y")), "home")
-    return sides.select("node", "home", "x", "y").mapInArrow(run, "node long, home long, n long, linked boolean, delta array<long>")
+    sides = home.join(side(texts, "node", "x"), "node").join(side(texts, "home", "y"), "home")
+    return sides.mapInArrow(run, "node long, home long, n long, linked boolean, delta array<long>")
 
 
 def delta_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,18 +230,22 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     """(digest, n, c) of the classes; c is the smallest doc_id of those that links reach.
 
     A class's node is a number of its own, as classes may have the smallest doc_id in common.
+    The kept prefixes are dropped once the classes have them.
     """
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    classes = kept(
+    wide = kept(
         prefixes.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(one, F.first("prefix").alias("prefix"))
         .select("digest", "n", "one.doc_id", "one.text_hash", "prefix", F.xxhash64("n", "prefix").alias("grp"), F.monotonically_increasing_id().alias("node"))
     )
-    groups = classes.groupBy("grp").agg(F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = kept(wide.drop("prefix"))
+    forget(prefixes)
+    groups = wide.groupBy("grp").agg(F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # One shuffle by shingle serves the counts and the join with them. A group stands for itself here.
     tokens = groups.select(F.col("grp").alias("node"), "members", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")).alias("p")
     shared = tokens.groupBy("token").agg(F.sum("members").alias("classes"), pivot).where("classes > 1")
     held = kept(tokens.join(shared, "token").select("token", F.struct("node", "n", "pos").alias("q"), "p"))
+    forget(wide)
     # A set that links with any shares enough prefix shingles; others are out of play.
     play = kept(held.groupBy(F.col("q.node").alias("grp"), F.col("q.n").alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n"), common, num, den)).select("grp"))
     members = kept(classes.join(play, "grp").select("grp", "node", "digest", "doc_id", "text_hash"))
@@ -243,11 +259,12 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     # Rows of single classes from here on, as a group's classes may be in different components.
     rest = kept(in_play.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
     forget(held, play)
-    sets = kept(sets_of(rows, members, size))
+    # Texts take a third of the place of their sets, of which few are asked for.
+    texts = kept(texts_of(rows, members))
 
     def verified(some: DataFrame) -> DataFrame:
-        sides = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return kept(sides.select("a", "b", "x", "y").mapInArrow(verifier(num, den), "u long, v long"))
+        sides = some.join(side(texts, "a", "x"), "a").join(side(texts, "b", "y"), "b")
+        return kept(sides.mapInArrow(verifier(size, num, den), "u long, v long"))
 
     def named_by(whole: DataFrame) -> DataFrame:
         return rest.join(whole, "node", "left").select("token", F.struct("node", "n", "pos").alias("q"), F.coalesce("component", "node").alias("c"))
@@ -267,7 +284,7 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     whole = components(links)
     named = named_by(whole)
     pivots = kept(mixed(named, F.xxhash64("q.node")))
-    near = kept(deltas(homes(named, pivots, crowd), sets, num, den))
+    near = kept(deltas(homes(named, pivots, crowd), texts, size, num, den))
     links = links.unionByName(near.where("linked and node != home").select(F.col("node").alias("u"), F.col("home").alias("v")))
     by_delta = delta_pairs(near.join(whole, "node", "left").withColumn("c", F.coalesce("component", "node")), num, den)
     left = kept(
@@ -279,7 +296,7 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     new = kept(candidates(paired, common, num, den).unionByName(by_delta).distinct().join(tried, ["a", "b"], "left_anti"))
     whole = components(links.unionByName(verified(new)))
     forget(pivots, near, left, by_delta)
-    forget(sets, rest, members)
+    forget(texts, rest, members)
     # A component's own node is not among the nodes of its table.
     whole = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())
     linked = whole.join(classes.select("node", "doc_id"), "node")
@@ -310,16 +327,17 @@ pivot they are joined on their differences from it (fewer make few pairs); links
     text = text_column(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
+    sized = kept(prefixes.select("doc_id", "n", "digest"))
     named = link_components(prefixes, rows, shingle, num, den, common, rounds, crowd)
     # Rows that share an id are one node, whatever their sets.
-    by_id = prefixes.where("doc_id is not null and n > 0").join(named, ["digest", "n"]).select("doc_id", "c")
+    by_id = sized.where("doc_id is not null and n > 0").join(named, ["digest", "n"]).select("doc_id", "c")
     chains = by_id.groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u < v")
     if chains.take(1):
         # Every component that an id has rows in, not just the outer two.
         over = components(by_id.join(chains, "doc_id").where("c != u").select("u", F.col("c").alias("v")))
         by_id = by_id.join(over, by_id["c"] == over["node"], "left").select("doc_id", F.coalesce("component", "c").alias("c"))
     by_id = by_id.groupBy("doc_id").agg(F.min("c").alias("c"))
-    return prefixes.join(by_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    return sized.join(by_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -76,20 +76,20 @@ def next_walk(pages: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
 
     A walk of length n takes log2(n) joins, not n: round k joins the walks with the
     links that jump 2**k pages and adds only what is new. Lineage is cut by a reliable
-    checkpoint each round.
+    checkpoint each round; the pages, which every round needs, are read once.
     """
     shown = pages.groupBy("url").agg(F.min(F.struct("next_url", "disabled", "first_item")).alias("p"))
-    pages = shown.select("url", "p.next_url", "p.disabled", "p.first_item")
+    pages = cut(shown.select("url", "p.next_url", "p.disabled", "p.first_item"))
     here = pages.filter(~F.coalesce("disabled", F.lit(False)) & F.col("next_url").isNotNull()).select(
         F.col("url").alias("src"), F.col("next_url").alias("dst"),
         F.coalesce("first_item", F.lit("?")).alias("old"),
     )
     there = pages.select(F.col("url").alias("dst"), F.col("first_item").alias("new"))
     changed = (F.coalesce("new", F.lit("")) != "") & (F.col("new") != F.col("old"))
-    jump = here.join(there, "dst").filter(changed).select("src", "dst")
+    jump = cut(here.join(there, "dst").filter(changed).select("src", "dst"))
 
     walks = seeds.select(F.col("url").alias("seed"), "url").distinct().withColumn("pos", F.lit(0))
-    walks = walks.join(pages.select("url"), "url", "left_semi").select("seed", "url", "pos")
+    walks = cut(walks.join(pages.select("url"), "url", "left_semi").select("seed", "url", "pos"))
     step = 1
     while step < max_pages:
         further = cut(

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from pagelake import run_job
+from pagelake.operators import paging
 from pagelake.plans import job
 from pagelake.sources import checkpoint
 
@@ -95,3 +96,20 @@ def test_a_job_goes_on_where_it_failed(spark, tmp_path, monkeypatch):
     assert job.complete_job(changed, config, root) == 3
     assert checkpoint.load(spark, f"{root}/checkpoints", sig).count() == 0
     assert job.complete_job(frame(spark, page(1, [1, 2]), page(2, [3]), page(3, [4])), config, root) == 1
+
+
+def test_a_walk_reads_its_pages_once(spark):
+    """Every round needs the pages; what they are made of must not run again for each."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"u{i}", f"u{i + 1}", False, f"item {i}") for i in range(12)]
+    shape = "url string, next_url string, disabled boolean, first_item string"
+    pages = spark.createDataFrame(rows, shape).mapInArrow(count, shape)
+    walk = paging.next_walk(pages, spark.createDataFrame([("u0",)], "url string"), 10)
+    assert sorted(r["pos"] for r in walk.collect()) == list(range(1, 11))
+    assert read.value == len(rows)

@@ -50,9 +50,10 @@ def detail_backfill(
         url_fingerprint(detail_url).alias("_hash"), *[F.col(f).alias(f"_new_{f}") for f in fields]
     )
     found = dedup_first(found, ["_hash"], [f"_new_{f}" for f in fields]).withColumn("_found", F.lit(True))
-    # Rows that look nothing up get no key at all, so they do not meet in one task.
+    # Rows that look nothing up get keys of their own that no page has: null keys would all meet in one task.
+    alone = F.concat(F.lit("-"), F.xxhash64(link, *order).cast("string"))
     keyed = _with_turn(items, has_link, order, limit).withColumn(
-        "_hash", F.when(F.col("_wanted"), url_fingerprint(target))
+        "_hash", F.coalesce(F.when(F.col("_wanted"), url_fingerprint(target)), alone)
     )
     joined = keyed.join(found, "_hash", "left")
     hit = F.coalesce("_found", F.lit(False))

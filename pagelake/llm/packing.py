@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -26,6 +27,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ CUTS = pa.schema(
 )
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-END_MARKS = (".", ",", ";", ":", "!", "?")
+PUNCTUATION = string.punctuation
 
 
 class Tokenizer:
@@ -60,33 +62,58 @@ class Tokenizer:
         steps = [{"type": "WhitespaceSplit"}, *(s for s in shape["pre_tokenizer"]["pretokenizers"] if s["type"] == "ByteLevel")]
         bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "added_tokens": []}
         self.words = Native.from_str(json.dumps(shape | bare))
-        self.marks = {m: np.array(self.native.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in END_MARKS}
+        self.marks: dict[str, bytes] = {}
         # A word's last id, and no other of its ids, stands for an ending.
         ending = [i for t, i in self.native.get_vocab(False).items() if t.endswith(shape["model"]["end_of_word_suffix"])]
         self.ending = np.zeros(max(ending) + 1, bool)
         self.ending[ending] = True
 
+    def word_of(self, part: str) -> tuple[str, str] | None:
+        """A part's letters in lower case and the punctuation after them, where the tokenizer does nothing else to it."""
+        stem = part.rstrip(PUNCTUATION)
+        if not stem.isalpha() or "<|" in part:
+            return None
+        if not stem.isascii():
+            if not is_normalized("NFC", stem):
+                return None
+            low = stem.lower()
+            # Up to here lower-casing is a matter of single letters; the tokenizer's own may differ beyond.
+            if low != stem and (max(stem) >= "\u0250" or "\u0130" in stem):
+                return None
+            stem = low
+        return stem, part[len(stem) :]
+
     def ids_of(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts; lower-casing is the tokenizer's own first step, special ids are matched before it."""
-        parts = [p.lower() if p.isascii() and "<|" not in p else p for p in parts]
-        new = self.memo.missing(set(parts))
-        known, marks, plain, others = self.memo.young, self.marks, {}, []
+        """The ids of parts; lower-case ASCII ones are looked up as they are, what is not known is worked out once."""
+        packed = list(map(self.memo.young.get, parts))
+        absent = [i for i, ids in enumerate(packed) if ids is None]
+        new = self.memo.missing(dict.fromkeys(map(parts.__getitem__, absent)))
+        known, words, others = self.memo.young, {}, []
         for part in new:
-            # The tokenizer normalises and splits nothing in lower-case letters, and splits a mark off after them.
-            word = part[:-1] if part[-1:] in marks else part
-            if word.isalpha() and (word.isascii() or word == word.lower() and is_normalized("NFC", word)):
-                plain[part] = word
-            else:
+            word = (part, "") if part.isascii() and part.isalpha() else self.word_of(part)
+            if word is None:
                 others.append(part)
-        words = list(dict.fromkeys(plain.values()))
-        packed = self.ids_of_words(words)
-        for part, word in plain.items():
-            known[part] = packed[word] if len(word) == len(part) else packed[word] + marks[part[-1]]
+            else:
+                words[part] = word
+        ids = self.ids_of_words(list(dict.fromkeys(w for w, _ in words.values())))
+        for part, (word, marks) in words.items():
+            known[part] = ids[word] + self.ids_of_marks(marks) if marks else ids[word]
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
             for part, e in zip(some, self.native.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
-        return [known[p] for p in parts]
+        for i in absent:
+            packed[i] = known[parts[i]]
+        return packed
+
+    def ids_of_marks(self, marks: str) -> bytes:
+        """The ids of a run of punctuation, which is one pre-token."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = np.array(self.native.encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.marks) < 10_000:
+                self.marks[marks] = ids
+        return ids
 
     def ids_of_words(self, words: list[str], run: int = 256) -> dict[str, bytes]:
         """The ids of lower-case words, asked for by runs of words and cut where words end."""
@@ -100,7 +127,7 @@ class Tokenizer:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; memory follows the size of all of them together."""
         parts, at, bounds = coded_parts(texts)
-        ids = self.ids_of(parts)
+        ids = self.ids_of(lowered(parts))
         pool = np.frombuffer(b"".join(ids), "<u4")
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(length) - length
@@ -109,6 +136,13 @@ class Tokenizer:
         return [flat[i:j].tobytes() for i, j in pairwise(ends[bounds].tolist())]
 
 
+def lowered(parts: list[str]) -> list[str]:
+    """Parts of ASCII characters in lower case, which is the tokenizer's own first step; special ids are matched before it."""
+    column = pa.array(parts, pa.large_string())
+    plain = pc.and_(pc.string_is_ascii(column), pc.invert(pc.match_substring(column, "<|")))
+    return pc.if_else(plain, pc.ascii_lower(column), column).to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(1)
 def tokenizer_at(path: str) -> Tokenizer:
     """One tokenizer for all tasks of a Python worker, with what it remembers."""

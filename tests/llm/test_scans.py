@@ -51,6 +51,18 @@ def test_packing_takes_every_id_once_without_padding(docs, odd_texts, native):
     assert sum(r["length"] for r in twice) == 2 * sum(len(ids_of(native, t)) for t in odd_texts)
 
 
+def test_words_before_punctuation_and_in_capitals_take_the_short_way(native):
+    """Only what the library would change or split otherwise goes through all its steps, and ids are the library's."""
+    plain = ["hello&&&", "hello!!", "Élan%%%", "Rajañ", "ÉLAN.", "x'"]
+    others = ["it's", "ΣΑΣ!", "İx.", "a<|endoftext|>", "H\u0331", "e\u0301!", "a1", "\u01c5", "é\u0338", "!\u0338"]
+    tokens = packing.Tokenizer(WORDS)
+    assert [p for p in plain + others if tokens.word_of(p) is None] == others
+    parts = packing.lowered([*plain, *others, "HELLO&&&", "A<|endoftext|>B", "", "..."])
+    for part, ids in zip(parts, tokens.ids_of(parts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == native.encode(part, add_special_tokens=False).ids
+    assert parts[-4:] == ["hello&&&", "A<|endoftext|>B", "", "..."]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bin_slack_finds_the_best_sum(seed):
     r = np.random.default_rng(seed)

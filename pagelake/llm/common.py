@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.session import shared_dir
+from pagelake.sources.bucketed import read_bucketed, write_bucketed
 from pagelake.sources.versions import remove
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -141,6 +142,18 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``kept``, in as many hash buckets of a key as shuffles have parts: joins on the key leave these rows where they are."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        write_bucketed(df.repartition(buckets, key), place, [key], buckets)
+    out = read_bucketed(spark, place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), [key], buckets)
+    out.kept_at = place
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Drop the files of kept tables from which nothing is to be read any more."""
     for table in tables:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from pagelake.llm.common import as_bytes, blocks, forget, kept, mix, text_column
+from pagelake.llm.common import as_bytes, blocks, forget, kept, kept_by, mix, text_column
 from pagelake.llm.components import components
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -259,8 +259,10 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     # Rows of single classes from here on, as a group's classes may be in different components.
     rest = kept(in_play.select("token", "grp", "q.n", "q.pos").join(members.select("grp", "node"), "grp").select("token", "node", "n", "pos"))
     forget(held, play)
-    # Texts take a third of the place of their sets, of which few are asked for.
-    texts = kept(texts_of(rows, members))
+    # Texts take a third of the place of their sets, of which few are asked for. In buckets they are not moved for each join.
+    found = kept(texts_of(rows, members))
+    texts = kept_by(found, "node")
+    forget(found)
 
     def verified(some: DataFrame) -> DataFrame:
         sides = some.join(side(texts, "a", "x"), "a").join(side(texts, "b", "y"), "b")

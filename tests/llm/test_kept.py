@@ -37,3 +37,20 @@ def test_prefixes_are_dropped_once_used(docs, monkeypatch):
     out = shingle_join.near_duplicates(docs(["a b c d e f", "a b c d e f", "g h i j k l"])).collect()
     assert sorted(r["component_id"] for r in out) == [0, 0, 2]
     assert {t.kept_at for t in tables if "prefix" in t.columns} <= set(gone)
+
+
+def test_a_table_kept_by_a_key_is_not_shuffled_by_it_again(spark):
+    out = common.kept_by(spark.range(1000).selectExpr("id node", "cast(id as string) text"), "node")
+    few = spark.range(500).selectExpr("id * 3 a").hint("merge")
+    joined = few.join(out.withColumnRenamed("node", "a"), "a")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 334 and out.count() == 1000
+    assert plan.count("Exchange hashpartitioning") == 1
+    common.forget(out)
+
+
+def test_pairs_leave_the_texts_where_they_are(docs, monkeypatch):
+    by = []
+    monkeypatch.setattr(shingle_join, "kept_by", lambda df, key: by.append((key, df.columns)) or common.kept_by(df, key))
+    shingle_join.near_duplicates(docs(["a b c d e f", "a b c d e f g", "g h i j k l"]), shingle=3, num=50).collect()
+    assert by == [("node", ["node", "digest", "text"])]

@@ -20,7 +20,8 @@ classes with the first of their group.  After that, pairs that are still in diff
 components are paired with another pivot, and at last all that remain, so that no link is
 missed.  Thousands of near copies that just do not link would then meet in all pairs; so
 classes near one pivot are joined on the shingles by which they differ from it instead, which
-is a prefix join of much smaller sets with rarer members.
+is a prefix join of much smaller sets with rarer members, first in small lots of those that
+share a difference, then in all pairs that are still apart.
 
 Words are separated by ASCII white space, A-Z lower-cased.  With fewer words than a shingle
 has, the whole sequence is the one shingle; null texts and texts without words have an empty
@@ -202,26 +203,42 @@ def deltas(home: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
     return sides.mapInArrow(run, "node long, home long, n long, linked boolean, delta array<long>")
 
 
-def delta_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: pairs of one home and two components that may link; near has c, the component, too.
+def delta_prefixes(near: DataFrame, num: int, den: int) -> DataFrame:
+    """(home, elem, held, p): the first elements of each difference, rare ones of the home first, p the class and the position.
 
     Sets of sizes n and m that link have ``o`` shingles in common, hence their differences from
     their home, of sizes d and e, have ``o - (n + m - d - e) / 2``.  That is one at least unless
     both link with their home, and they then are in one component.  So this is a prefix join
-    again, on differences, rare ones of the home first.
+    again, on differences.
     """
-    elems = near.select("home", "node", "n", "c", F.size("delta").alias("d"), F.explode("delta").alias("elem"))
+    elems = near.select("home", "node", "n", F.size("delta").alias("d"), F.explode("delta").alias("elem"))
     counts = elems.groupBy("home", "elem").agg(F.count("*").alias("held"))
     order = F.row_number().over(Window.partitionBy("node").orderBy("held", "elem")) - 1
     most = F.floor(F.col("n") * (den - num) / num)  # by so many shingles a linked partner differs at most
     placed = elems.join(counts, ["home", "elem"]).withColumn("pos", order)
-    short = kept(placed.where((F.col("held") > 1) & (F.col("pos") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - most))).select("home", "elem", F.struct("node", "n", "d", "pos", "c").alias("p")))
+    inside = (F.col("held") > 1) & (F.col("pos") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - most))
+    return placed.where(inside).select("home", "elem", "held", F.struct("node", "n", "d", "pos").alias("p"))
+
+
+def delta_candidates(short: DataFrame, of: DataFrame, num: int, den: int, turn: int | None = None, few: int = 4) -> DataFrame:
+    """(a, b), a < b: pairs of one home and two components that may link; of has the component c of every node.
+
+    With a turn, those that have an element are dealt into lots of ``few`` and meet in theirs only: pairs grow as the rows.
+    """
     d1, d2, i, j = (F.col(f"{s}.{c}") for c in ("d", "pos") for s in ("p", "q"))
     n1, n2 = F.col("p.n"), F.col("q.n")
     need = F.greatest(F.lit(1), overlap(n1, n2, num, den) - (n1 + n2 - d1 - d2) / 2)
     fits = (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (i <= d1 - need) & (j <= d2 - need) & (F.least(i, j) + F.least(d1 - i, d2 - j) >= need)
-    paired = short.join(short.withColumnRenamed("p", "q"), ["home", "elem"]).where((F.col("p.c") < F.col("q.c")) & fits)
-    pairs = kept(paired.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+    lot = F.lit(0) if turn is None else F.pmod(F.xxhash64("p.node", F.lit(turn)), F.ceil(F.col("held") / few))
+    held = short.join(of, F.col("p.node") == F.col("node")).select("home", "elem", lot.alias("lot"), F.col("p").withField("c", F.col("c")).alias("p"))
+    paired = held.join(held.withColumnRenamed("p", "q"), ["home", "elem", "lot"]).where((F.col("p.c") < F.col("q.c")) & fits)
+    return paired.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
+def delta_pairs(near: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: all pairs of one home and two components that may link; near has c, the component, too."""
+    short = kept(delta_prefixes(near, num, den))
+    pairs = kept(delta_candidates(short, near.select("node", "c"), num, den))
     forget(short)
     return pairs
 
@@ -288,7 +305,19 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     pivots = kept(mixed(named, F.xxhash64("q.node")))
     near = kept(deltas(homes(named, pivots, crowd), texts, size, num, den))
     links = links.unionByName(near.where("linked and node != home").select(F.col("node").alias("u"), F.col("home").alias("v")))
-    by_delta = delta_pairs(near.join(whole, "node", "left").withColumn("c", F.coalesce("component", "node")), num, den)
+    short = kept(delta_prefixes(near, num, den))
+
+    def of_near(whole: DataFrame) -> DataFrame:
+        return near.select("node").join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+
+    # Copies that link are in one component after a few partners each; only what is still apart meets in all pairs.
+    for k in range(rounds):
+        whole = components(links)
+        new = kept(delta_candidates(short, of_near(whole), num, den, turn=k).join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.unionByName(verified(new)), tried.unionByName(new)
+    whole = components(links)
+    named = named_by(whole)
+    by_delta = kept(delta_candidates(short, of_near(whole), num, den))
     left = kept(
         named.join(pivots.select("token"), "token").join(near.select(F.col("node").alias("near"), "home"), F.col("q.node") == F.col("near"), "left")
         .select("token", F.struct("q.node", "q.n", "q.pos", "c", "home").alias("q"))
@@ -297,7 +326,7 @@ def link_components(prefixes: DataFrame, rows: DataFrame, size: int, num: int, d
     paired = left.withColumnRenamed("q", "p").join(left, "token").where(apart)
     new = kept(candidates(paired, common, num, den).unionByName(by_delta).distinct().join(tried, ["a", "b"], "left_anti"))
     whole = components(links.unionByName(verified(new)))
-    forget(pivots, near, left, by_delta)
+    forget(pivots, near, short, left, by_delta)
     forget(texts, rest, members)
     # A component's own node is not among the nodes of its table.
     whole = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())

@@ -54,3 +54,24 @@ def test_every_link_of_different_components_is_a_candidate(spark):
     want = {(a, b) for a in parts for b in parts if a < b and parts[a] != parts[b] and linked(a, b)}
     assert want and want <= got and len(got) < len(rows) * (len(rows) - 1) / 2
     assert shingle_join.delta_pairs(near.where(F.lit(False)), 80, 100).collect() == []
+
+
+def test_a_turn_makes_pairs_as_the_rows_and_all_pairs_are_those_still_apart(spark):
+    """A crowd that has one difference in common, in lots first."""
+    n = 400
+    near = spark.createDataFrame([(i, 0, 100, i, [7, *range(1000 * i, 1000 * i + 19)]) for i in range(n)], "node long, home long, n long, c long, delta array<long>")
+    short = shingle_join.delta_prefixes(near, 80, 100).select("home", "elem", "held", F.col("p").withField("pos", F.lit(0)).alias("p"))
+    of = near.select("node", "c")
+    lots = [shingle_join.delta_candidates(short, of, 80, 100, turn=k).count() for k in range(2)]
+    assert all(n / 2 < x < 4 * n for x in lots)
+    assert shingle_join.delta_candidates(short, of, 80, 100).count() == n * (n - 1) // 2
+    assert shingle_join.delta_candidates(short, of.withColumn("c", F.lit(0)), 80, 100).count() == 0
+
+
+def test_few_pairs_of_a_crowd_that_links_meet_at_last(docs, monkeypatch):
+    """Copies of a base that is not among them: most are in one component before all pairs are made."""
+    asked = []
+    real = shingle_join.delta_candidates
+    monkeypatch.setattr(shingle_join, "delta_candidates", lambda *a, **k: asked.append(k.get("turn")) or real(*a, **k))
+    assert len(shingle_join.near_duplicates(docs(copies(2)), shingle=5, num=80, rounds=1, crowd=2).collect()) == 93
+    assert asked == [0, None]

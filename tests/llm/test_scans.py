@@ -53,8 +53,8 @@ def test_packing_takes_every_id_once_without_padding(docs, odd_texts, native):
 
 def test_words_before_punctuation_and_in_capitals_take_the_short_way(native):
     """Only what the library would change or split otherwise goes through all its steps, and ids are the library's."""
-    plain = ["hello&&&", "hello!!", "Élan%%%", "Rajañ", "ÉLAN.", "x'"]
-    others = ["it's", "ΣΑΣ!", "İx.", "a<|endoftext|>", "H\u0331", "e\u0301!", "a1", "\u01c5", "é\u0338", "!\u0338"]
+    plain = ["hello&&&", "hello!!", "Élan%%%", "Rajañ", "ÉLAN.", "x'", "\u01c5"]
+    others = ["it's", "ΣΑΣ!", "İx.", "a<|endoftext|>", "H\u0331", "e\u0301!", "a1", "é\u0338", "!\u0338"]
     tokens = packing.Tokenizer(WORDS)
     assert [p for p in plain + others if tokens.word_of(p) is None] == others
     parts = packing.lowered([*plain, *others, "HELLO&&&", "A<|endoftext|>B", "", "..."])

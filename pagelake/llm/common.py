@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts together hold ``size`` bytes or so, and one row at least.
 
-    What a task builds from a block is then bounded, whatever the batches hold.
+    What a task builds from a block is then bounded, whatever the batches hold.  What Arrow has
+    freed goes back to the system after each batch; a worker that waits for tasks would keep it.
     """
     for batch in batches:
         total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
@@ -50,6 +51,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20)
             end = max(start + 1, int(np.searchsorted(total, before + size, "right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def coded_parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -111,20 +114,34 @@ def check_remainder(id_col: str, divisor: int) -> Column:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile leaves no shuffle files behind, which else stay until the driver collects its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds meanwhile, and is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager:
+    """What is written meanwhile leaves no shuffle files behind, which else stay until the driver collects its garbage."""
+    return setting(spark, _CLEANUP, "true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager:
+    """What runs meanwhile hands rows to Python in batches of 4 MB or so, and of one row at least.
+
+    A task holds a batch several times, in the executor's buffers and in its worker.
+    """
+    return setting(spark, _BATCH, f"{4 << 20}b")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ row gives one output row, repeated rows and null ids included.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from pagelake.llm.common import Memo, as_bytes, blocks, check_remainder, mix, per_batch, text_column
+from pagelake.llm.common import Memo, as_bytes, blocks, check_remainder, mix, per_batch, small_batches, text_column
 
 #: Shares of a text's n-grams from which a shape has a further indicator.
 LEVELS = (0.02, 0.1, 0.3, 0.6)
@@ -41,9 +42,9 @@ def shape(word: bytes) -> bytes:
 
 
 class Indicators:
-    """Slots of the n-gram indicators of a text."""
+    """Slots of the n-gram indicators of a text; a known word's two hashes are 16 bytes."""
 
-    def __init__(self, bits: int, known: int = 200_000):
+    def __init__(self, bits: int, known: int = 100_000):
         self.mask, self.memo = np.uint64((1 << bits) - 1), Memo(known)
 
     def slots(self, text: bytes) -> np.ndarray:
@@ -52,8 +53,8 @@ class Indicators:
             return np.empty(0, np.int64)
         memo = self.memo
         for p in memo.missing(set(parts)):
-            memo.young[p] = (xxh3_64_intdigest(p.lower()), xxh3_64_intdigest(shape(p), 7))
-        pairs = np.array([memo.young[p] for p in parts], np.uint64)
+            memo.young[p] = struct.pack("=QQ", xxh3_64_intdigest(p.lower()), xxh3_64_intdigest(shape(p), 7))
+        pairs = np.frombuffer(b"".join([memo.young[p] for p in parts]), np.uint64).reshape(-1, 2)
         words, shapes = pairs[:, 0], pairs[:, 1]
         found = [mix(words), mix(words[:-1] * _A + words[1:])]
         same = np.zeros(len(parts), np.uint64)
@@ -145,7 +146,7 @@ def train(
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [r for b in batches for r in b.to_pylist()]
         table.sort(key=lambda r: (r["id"], r["slots"]))
-        found = [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in table]
+        found = [np.frombuffer(r["slots"], "<i4") for r in table]
         y = np.array([r["label"] for r in table])
         weight, bias = fit_support_vectors(found, y, slots)
         square = np.zeros(slots)
@@ -158,10 +159,11 @@ def train(
         yield pa.RecordBatch.from_pydict({"weight": [weight.tobytes()], "square": [square.tobytes()], "bias": [bias]})
 
     labelled = rows.join(F.broadcast(some), "id").select("id", "label", "text")
-    model = (
-        labelled.mapInArrow(per_batch(gather, schema), "id long, label int, slots binary")
-        .repartition(1).mapInArrow(fit, "weight binary, square binary, bias double").collect()
-    )
+    with small_batches(docs.sparkSession):
+        model = (
+            labelled.mapInArrow(per_batch(gather, schema), "id long, label int, slots binary")
+            .repartition(1).mapInArrow(fit, "weight binary, square binary, bias double").collect()
+        )
     if not model:
         return np.zeros(slots), np.zeros(slots), 0.0
     return np.frombuffer(bytes(model[0].weight)), np.frombuffer(bytes(model[0].square)), model[0].bias
@@ -174,28 +176,29 @@ def score(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id and score in 0..1 (0.5 on the separating plane), with further columns of the row."""
+    """doc_id and score in 0..1 (0.5 on the separating plane), with further columns of the row.
+
+    Python gets the text alone and gives the score alone; what is kept stays where it is.
+    """
     weight, square, bias = model
     bits = len(weight).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast((weight, square))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("kept")] if keep else []), text_column(docs, text_col).alias("text"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, q = shared.value
         features = Indicators(bits)
-        for batch in blocks(batches, "text"):
+        for text in texts:
             scores = []
-            for t in as_bytes(batch.column("text")):
-                x = features.slots(t)
-                margin = w[x].sum() / max(np.sqrt(q[x].sum()), 1e-12) + bias if len(x) else bias
-                scores.append(1 / (1 + np.exp(-np.clip(2 * margin, -500, 500))))
-            columns = {"doc_id": batch.column("doc_id")}
-            if keep:
-                columns["kept"] = batch.column("kept")
-            yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(scores, pa.float64())})
-
-    kept = f"kept {rows.schema['kept'].dataType.simpleString()}, " if keep else ""
-    return rows.mapInArrow(judge, f"doc_id long, {kept}score double")
+            for block in blocks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
+                for t in as_bytes(block.column("text")):
+                    x = features.slots(t)
+                    margin = w[x].sum() / max(np.sqrt(q[x].sum()), 1e-12) + bias if len(x) else bias
+                    scores.append(1 / (1 + np.exp(-np.clip(2 * margin, -500, 500))))
+            yield pa.array(scores, pa.float64())
+
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, judge(text_column(docs, text_col)).alias("score"))
 
 
 def quality_scores(

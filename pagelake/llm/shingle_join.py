@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from pagelake.llm.common import as_bytes, blocks, forget, kept, kept_by, mix, text_column
+from pagelake.llm.common import as_bytes, blocks, forget, kept, kept_by, mix, small_batches, text_column
 from pagelake.llm.components import components
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -357,9 +357,10 @@ pivot they are joined on their differences from it (fewer make few pairs); links
     """
     text = text_column(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
-    sized = kept(prefixes.select("doc_id", "n", "digest"))
-    named = link_components(prefixes, rows, shingle, num, den, common, rounds, crowd)
+    with small_batches(docs.sparkSession):
+        prefixes = kept(with_prefixes(rows, shingle, num, den, common, bits))
+        sized = kept(prefixes.select("doc_id", "n", "digest"))
+        named = link_components(prefixes, rows, shingle, num, den, common, rounds, crowd)
     # Rows that share an id are one node, whatever their sets.
     by_id = sized.where("doc_id is not null and n > 0").join(named, ["digest", "n"]).select("doc_id", "c")
     chains = by_id.groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u < v")

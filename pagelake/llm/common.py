@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import shared_dir
+from pagelake.session import give_back, shared_dir
 from pagelake.sources.bucketed import read_bucketed, write_bucketed
 from pagelake.sources.versions import remove
 
@@ -149,11 +149,13 @@ def kept(df: DataFrame) -> DataFrame:
 
     Like a checkpoint this cuts the lineage where every executor can read; it is compressed,
     and Spark knows its size when it plans the joins that follow. Nothing reads the shuffles
-    of the write again, so they go at its end.
+    of the write again, so they go at its end, and the driver gives back what its plan took:
+    operators keep tables by the dozen.
     """
     place = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(place)
+    give_back(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(place)
     out.kept_at = place
     return out
@@ -166,6 +168,7 @@ def kept_by(df: DataFrame, key: str) -> DataFrame:
     place = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         write_bucketed(df.repartition(buckets, key), place, [key], buckets)
+    give_back(spark)
     out = read_bucketed(spark, place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), [key], buckets)
     out.kept_at = place
     return out

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The JVM's command, as its management beans name it.
+TRIM = "systemTrimNativeHeap"
+
+
+def give_back(spark: SparkSession, share: float = 0.5) -> tuple[bool, bool]:
+    """Let the driver's JVM return memory that it no longer uses; tells whether its heap and its other memory were asked.
+
+    Many small plans leave garbage that the JVM would rather grow for; it is collected once the heap
+    has grown to a share of what it may be. Compilers and threads leave pieces with the C library,
+    which the JVM's own command ``System.trim_native_heap`` hands on; not every JVM has it.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    heap = jvm.java.lang.Runtime.getRuntime()
+    grown = heap.totalMemory() >= share * heap.maxMemory()
+    if grown:
+        jvm.java.lang.System.gc()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # By the interface: Py4J looks at the server's own class, which its module does not open.
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = commands, TRIM
+    try:
+        call.invoke(server, given)
+    except Py4JJavaError:
+        return grown, False
+    return grown, True
+
+
 def byte_count(size: str) -> int:
     """A size setting (``128m``, ``1GB``, ``134217728b``) in bytes."""
     number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()

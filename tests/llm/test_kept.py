@@ -4,6 +4,7 @@ import time
 
 import pyarrow as pa
 
+from pagelake import session
 from pagelake.llm import common, shingle_join
 
 
@@ -54,3 +55,27 @@ def test_pairs_leave_the_texts_where_they_are(docs, monkeypatch):
     monkeypatch.setattr(shingle_join, "kept_by", lambda df, key: by.append((key, df.columns)) or common.kept_by(df, key))
     shingle_join.near_duplicates(docs(["a b c d e f", "a b c d e f g", "g h i j k l"]), shingle=3, num=50).collect()
     assert by == [("node", ["node", "digest", "text"])]
+
+
+def test_a_kept_table_lets_the_driver_give_memory_back(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "give_back", asked.append)
+    assert common.kept(spark.range(10)).count() == 10
+    assert common.kept_by(spark.range(10), "id").count() == 10
+    assert len(asked) == 2
+
+
+def test_garbage_goes_once_the_heap_has_grown_to_its_share(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    heap = jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    assert session.give_back(spark, 2.0)[0] is False
+    gateway.detach(gateway.new_array(jvm.long, 8 << 20))
+    before = used()
+    assert session.give_back(spark, 0.0)[0] is True
+    assert used() < before - (32 << 20)
+
+
+def test_a_driver_without_the_command_keeps_what_it_has(spark, monkeypatch):
+    monkeypatch.setattr(session, "TRIM", "noSuchCommand")
+    assert session.give_back(spark, 2.0) == (False, False)

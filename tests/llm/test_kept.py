@@ -66,14 +66,12 @@ def test_a_kept_table_lets_the_driver_give_memory_back(spark, monkeypatch):
 
 
 def test_garbage_goes_once_the_heap_has_grown_to_its_share(spark):
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    heap = jvm.java.lang.Runtime.getRuntime()
-    used = lambda: heap.totalMemory() - heap.freeMemory()
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collections = lambda: sum(b.getCollectionCount() for b in beans)
     assert session.give_back(spark, 2.0)[0] is False
-    gateway.detach(gateway.new_array(jvm.long, 8 << 20))
-    before = used()
+    before = collections()
     assert session.give_back(spark, 0.0)[0] is True
-    assert used() < before - (32 << 20)
+    assert collections() > before
 
 
 def test_a_driver_without_the_command_keeps_what_it_has(spark, monkeypatch):

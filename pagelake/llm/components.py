@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.common import forget, kept
 from pagelake.session import cut
 
 
@@ -32,16 +33,20 @@ def _small(edges: DataFrame) -> DataFrame:
     ).where("u != v").distinct()
 
 
-def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
+def components(links: DataFrame, left: str = "u", right: str = "v", tidy: bool = False) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
-    Links with a null end or of a node to itself say nothing.
+    Links with a null end or of a node to itself say nothing.  With ``tidy`` a round's links and
+    shuffles go from disk once the next round's are written.
     """
+    keep = kept if tidy else cut
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"), (F.col(left).isNotNull() & F.col(right).isNotNull()).alias("ok"))
-    edges = cut(edges.where("ok and u != v").select("u", "v").distinct())
+    edges = keep(edges.where("ok and u != v").select("u", "v").distinct())
     seen = _digest(edges)
     while seen[0]:
-        edges = cut(_small(_large(edges)))
+        before, edges = edges, keep(_small(_large(edges)))
+        if tidy:
+            forget(before)
         now = _digest(edges)
         if now == seen:
             break

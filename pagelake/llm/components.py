@@ -37,7 +37,7 @@ def components(links: DataFrame, left: str = "u", right: str = "v", tidy: bool =
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Links with a null end or of a node to itself say nothing.  With ``tidy`` a round's links and
-    shuffles go from disk once the next round's are written.
+    shuffles go from disk once the next round's are written; the result is a kept table.
     """
     keep = kept if tidy else cut
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"), (F.col(left).isNotNull() & F.col(right).isNotNull()).alias("ok"))
@@ -51,4 +51,7 @@ def components(links: DataFrame, left: str = "u", right: str = "v", tidy: bool =
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if tidy:
+        out.kept_at = edges.kept_at
+    return out

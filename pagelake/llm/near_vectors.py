@@ -31,7 +31,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -298,6 +298,13 @@ def interval_pairs(blocks: DataFrame, eps: float, fan: int = 8) -> DataFrame:
     return pairs
 
 
+def folded(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The links per vector, and each vector's component, of what several rounds found."""
+    found = spark.read.schema(parts[0].schema).parquet(*[p.kept_at for p in parts])
+    weights = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    return weights, components(found.where("u is not null").select("u", "v"), tidy=True)
+
+
 def block_links(blocks: DataFrame, pairs: DataFrame, count: int, axes: np.ndarray, least: float, block_rows: int, dtype: str) -> list[DataFrame]:
     """(id, n) links of vectors and (u, v) forests of links, over pairs of ``count`` blocks; a kept table for each round."""
     spark = blocks.sparkSession
@@ -336,8 +343,14 @@ def block_links(blocks: DataFrame, pairs: DataFrame, count: int, axes: np.ndarra
         if work is not None:
             yield work.told([b for _, b in work.held.values()], [])
 
-    parts = []
+    parts, rows_found, none = [], 0, F.lit(None).cast("long")
     for k in range(rounds):
+        if rows_found > 2 * count * block_rows:
+            # As many rows as vectors say the same.
+            weights, whole = folded(spark, parts)
+            less = kept(weights.select("id", "n", none.alias("u"), none.alias("v")).unionByName(whole.select(none.alias("id"), none.alias("n"), F.col("node").alias("u"), F.col("component").alias("v"))))
+            forget(whole, *parts)
+            parts, rows_found = [less], 0
         # A round has about as many rows as there are blocks; they go to the blocks, which then move once.
         some = sent.where(F.pmod(F.xxhash64("tile", "lot"), F.lit(rounds)) == k)
         carried = [F.when(~F.col("bare"), F.col(c)).alias(c) for c in ("vectors", "sizes", "copies")]
@@ -345,6 +358,7 @@ def block_links(blocks: DataFrame, pairs: DataFrame, count: int, axes: np.ndarra
         order = ["tile", "lot", F.col("partners").isNotNull(), "block"]
         with small_batches(spark):
             parts.append(kept(rows.repartition(tasks, "tile", "lot").sortWithinPartitions(*order).mapInArrow(links, "id long, n long, u long, v long")))
+        rows_found += parts[-1].count()
     forget(sent)
     return parts
 
@@ -440,9 +454,7 @@ def near_vectors(
     offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part long, before long")
     blocks = found.join(F.broadcast(offsets), "part").withColumn("block", F.col("before") + F.col("piece")).drop("part", "piece", "before")
     rounds = block_links(blocks, interval_pairs(blocks, eps), before[-1], axes, least, block_rows, dtype)
-    found_links = spark.read.schema(rounds[0].schema).parquet(*[r.kept_at for r in rounds])
-    weights = found_links.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    whole = components(found_links.where("u is not null").select("u", "v"), tidy=True)
+    weights, whole = folded(spark, rounds)
     nodes = blocks.select("block", F.posexplode(F.arrays_zip("h1", "h2", "least", "copies")).alias("at", "of"))
     nodes = nodes.select((F.col("block") * block_rows + F.col("at")).alias("id"), "of.*")
     # Those without a link or a copy are what the others' lack says.
@@ -451,7 +463,7 @@ def near_vectors(
         .select("h1", "h2", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
         .where("n_links > 0")
     )
-    forget(found, *rounds)
+    forget(found, whole, *rounds)
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "component").select("h1", "h2", "n_links", "component_id")
     linked = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")

@@ -57,9 +57,9 @@ def test_disk_follows_the_table_and_not_the_pairs_of_blocks(spark, monkeypatch):
 def test_links_over_tiles_and_rounds_like_brute_force(spark, monkeypatch, kind, tile, block_rows):
     monkeypatch.setattr(near_vectors, "ROUND", 1)
     monkeypatch.setattr(near_vectors, "TILE", tile)
-    made = []
-    own = near_vectors.block_links
-    monkeypatch.setattr(near_vectors, "block_links", lambda *a: made.extend(own(*a)) or list(made))
+    rounds, own, folds, fold = [], near_vectors.block_links, [], near_vectors.folded
+    monkeypatch.setattr(near_vectors, "block_links", lambda *a: rounds.append(own(*a)) or rounds[-1])
+    monkeypatch.setattr(near_vectors, "folded", lambda spark, parts: folds.append(len(parts)) or fold(spark, parts))
     x = vectors(900, 6, 11)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
     got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, block_rows=block_rows).collect()}
@@ -67,11 +67,26 @@ def test_links_over_tiles_and_rounds_like_brute_force(spark, monkeypatch, kind,
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     want = classes(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
-    assert len(made) > 1 and len(set(want.values())) > 20
+    assert sum(folds) > len(folds) and len(set(want.values())) > 20
     for i, c in want.items():
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, c, i == c), i
 
 
+def test_what_rounds_find_is_folded(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "ROUND", 1)
+    monkeypatch.setattr(near_vectors, "TILE", 20 * 3 * 4)
+    folds, fold = [], near_vectors.folded
+    monkeypatch.setattr(near_vectors, "folded", lambda spark, parts: folds.append(len(parts)) or fold(spark, parts))
+    x = np.random.default_rng(2).normal(size=(200, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, block_rows=20).collect()}
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = classes(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    assert len(folds) > 1
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (near[i].sum() - 1, c) for i, c in want.items()}
+
+
 def test_equal_vectors_have_one_cell_in_any_batch():
     x = vectors(3000, 64, 5)
     axes = np.linalg.qr(np.random.default_rng(1).normal(size=(64, 64)))[0][:, :6]
